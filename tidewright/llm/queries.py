@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import consensus, formatting, leakage, lookalike, overlap, splits
+from tidewright.llm import consensus, formatting, leakage, lookalike, overlap, private, splits
 from tidewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CLASSES = ["behavioral_health", "diagnoses", "disabilities", "infectious_diseases", "genetics", "medications", "sexual_reproductive_health", "social_determinants_of_health", "violence", "other"]
 IDS = ["patient_id", "author_id", "source_id"]
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
+#: A key for the tests; a real one comes from the caller.
+KEY = b"a key of the test tables"
 ITEM = ["pair_id", "category"]
 RATING = {"id_col": "row_id", "texts": ["patient"], "lists": ["item"], "ignore": ["loaded_at"], "required": ["patient", "physician", "item"]}
 
@@ -32,6 +34,19 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_report(splits.assign_splits(splits.grouped(table(spark, sf, "study_rows"), "row_id", IDS), SHARES))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = private.mentions(table(spark, sf, "patient_summaries"), "summary_id", ["summary"], ["medical_history", "social_history"])
+    return found.select("summary_id", "field_name", "elem_no", "kind", "begin_at")
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return private.redacted(table(spark, sf, "patient_summaries"), ["summary"], ["medical_history", "social_history"], KEY).select("summary_id", "summary", "medical_history", "social_history")
+
+
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_found(spark, sf).groupBy("field_name", "kind").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("summary_id").alias("n_records"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return formatting.copy_links(table(spark, sf, "ratings"), **RATING)
 
