@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import consensus, formatting, leakage, lookalike, overlap, private, splits
+from tidewright.llm import consensus, formatting, leakage, lookalike, mapping, mixing, overlap, private, splits
 from tidewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CLASSES = ["behavioral_health", "diagnoses", "disabilities", "infectious_diseases", "genetics", "medications", "sexual_reproductive_health", "social_determinants_of_health", "violence", "other"]
 IDS = ["patient_id", "author_id", "source_id"]
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
+TOKENIZER = "byte_bpe_50k.tiktoken"
 #: A key for the tests; a real one comes from the caller.
 KEY = b"a key of the test tables"
 ITEM = ["pair_id", "category"]
@@ -80,6 +81,18 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.overlap_report(table(spark, sf, "study_rows"))
 
 
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.mapped(table(spark, sf, "item_entries").where("not item_json_resolved"), table(spark, sf, "item_mapping"), "item")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped(spark, sf).select("entry_id", F.col("mapped_id").alias("canonical_id"))
+
+
+def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.unmatched_report(_mapped(spark, sf), "item")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("eval_id", "doc_id")
 
@@ -98,6 +111,16 @@ def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.without_leaks(docs, leakage.leaks(docs, table(spark, sf, "eval_items")))
 
 
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), str(public_tokenizers.path(TOKENIZER)), public_tokenizers.PATTERN)
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixture_report(p8_mixture(spark, sf), table(spark, sf, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, sf, "documents"))
 
