@@ -6,8 +6,9 @@ components are found by breadth-first search from many seeds at once:
 
 1. seeds are the nodes whose hash is smaller than that of all neighbours, so
    every component has one;
-2. all seeds expand together, frontier by frontier, over the adjacency list
-   hashed by node, each node keeping the smallest seed that reaches it first;
+2. all seeds expand together for a few steps, frontier by frontier, over the
+   adjacency list hashed by node, each node keeping the smallest seed that
+   reaches it first; a node that none reaches becomes a seed;
 3. edges between nodes of different seeds are collisions: they make a graph of
    seeds, far smaller, on which the same is done, until no edge is left.
 
@@ -32,6 +33,7 @@ from tidewright.session import cut
 #: Digits of an id between other characters; leading zeros and a decimal zero don't count.
 ID_NUMBER = r"^[^0-9]*0*([0-9]+?)(?:\.0+)?[^0-9]*$"
 LARGE = 100
+HOPS = 2
 BUCKETS = 1024
 
 
@@ -48,26 +50,28 @@ def ties(df: DataFrame, row_col: str, id_cols: list[str]) -> DataFrame:
 
 def tie_edges(tied: DataFrame) -> DataFrame:
     """The distinct edges (a, b) between the ids of a row; each row's ids are chained, which ties all of them."""
-    pairs = F.expr("transform(sequence(1, size(nodes) - 1), i -> struct(nodes[i - 1] as a, nodes[i] as b))")
+    pairs = F.expr("transform(sequence(1, size(nodes) - 1), i -> struct(least(nodes[i - 1], nodes[i]) as a, greatest(nodes[i - 1], nodes[i]) as b))")
     return tied.where(F.size("nodes") > 1).select(F.inline(pairs)).where("a <> b").distinct()
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
+    """The adjacency list of distinct edges."""
+    return edges.selectExpr("inline(array(named_struct('src', a, 'dst', b), named_struct('src', b, 'dst', a)))")
 
 
 def _seeded(adjacent: DataFrame) -> DataFrame:
-    """(node, seed) for every node of the graph, by breadth-first search from all seeds at once."""
+    """(node, seed) for every node: breadth-first search of HOPS steps from all seeds at once.
+
+    A node that no seed reaches in HOPS steps is its own seed.
+    """
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     least = adjacent.groupBy("src").agg(F.min(rank("dst")).alias("around"))
-    frontier = cut(least.where(rank("src") < F.col("around")).select(F.col("src").alias("node"), F.col("src").alias("seed")))
-    labels = frontier
-    while True:
-        reached = adjacent.join(frontier, adjacent["src"] == frontier["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("seed").alias("seed"))
-        frontier = cut(reached.join(labels.select("node"), "node", "left_anti"))
-        if frontier.isEmpty():
-            return labels
-        labels = labels.unionByName(frontier)
+    labels = least.select(F.col("src").alias("node"), F.when(rank("src") < F.col("around"), F.col("src")).alias("seed"))
+    for _ in range(HOPS):
+        frontier = labels.where("seed is not null").select(F.col("node").alias("dst"), "seed")
+        reached = adjacent.join(frontier, "dst").groupBy(F.col("src").alias("node")).agg(F.min("seed").alias("met"))
+        labels = labels.join(reached, "node", "left").select("node", F.coalesce("seed", "met").alias("seed"))
+    return labels.select("node", F.coalesce("seed", "node").alias("seed"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -75,8 +79,7 @@ def components(edges: DataFrame) -> DataFrame:
     maps: list[DataFrame] = []
     edges = cut(edges)
     while not edges.isEmpty():
-        adjacent = cut(_both_ways(edges))
-        seeds = cut(_seeded(adjacent))
+        seeds = cut(_seeded(_both_ways(edges)))
         maps.append(seeds)
         of = lambda end: seeds.select(F.col("node").alias(end), F.col("seed").alias(f"seed_{end}"))
         met = edges.join(of("a"), "a").join(of("b"), "b").where("seed_a <> seed_b")
