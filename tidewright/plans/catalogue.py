@@ -1,17 +1,50 @@
-"""Queries of the reference operators over the test tables, with their DuckDB statements."""
+"""Queries of the reference operators over the test tables, with their DuckDB statements.
+
+``entry(name, sql, doubles)`` registers a query. The named double columns are
+rounded to six places on both sides, so that the order of additions in the two
+engines doesn't matter.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+PLACES = 6
+
+
+def entry(sql: str | None = None, doubles: str = "", name: str | None = None) -> Callable[[Query], Query]:
+    names = doubles.split()
+
+    def register(f: Query) -> Query:
+        key = name or f.__name__
+
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            df = f(spark, sf)
+            return df.withColumns({c: F.round(c, PLACES) + F.lit(0.0) for c in names}) if names else df
+
+        QUERIES[key] = run
+        if sql is not None:
+            SQL[key] = f"select * replace ({', '.join(f'round({c}, {PLACES}) + 0.0 as {c}' for c in names)}) from (\n{sql}\n)" if names else sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from tidewright.plans import queries_cells, queries_items, queries_metrics, queries_summary  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
