@@ -128,7 +128,7 @@ def icc21(ratings: DataFrame, groups: list[str], target: str, rater: str, value:
         F.count_distinct(target).alias("n"), F.max("k").alias("k"), F.sum(sq(F.col("__t") - F.col("__g"))).alias("ss_t"), F.sum(sq(F.col("__r") - F.col("__g"))).alias("ss_r"),
         F.sum(sq(F.col("v") - F.col("__t") - F.col("__r") + F.col("__g"))).alias("ss_e"),
     )
-    ms_t, ms_r, ms_e = F.expr("ss_t / (n - 1)"), F.expr("ss_r / (k - 1)"), F.expr("ss_e / ((n - 1) * (k - 1))")
+    ms_t, ms_r, ms_e = (F.expr(f"try_divide({a}, {b})") for a, b in (("ss_t", "n - 1"), ("ss_r", "k - 1"), ("ss_e", "(n - 1) * (k - 1)")))
     bottom = ms_t + (F.col("k") - 1) * ms_e + F.col("k") * (ms_r - ms_e) / F.col("n")
     return s.select(*groups, F.col("n").alias("n_targets"), F.col("k").alias("n_raters"), F.when((F.col("n") > 1) & (F.col("k") > 1) & (F.abs(bottom) >= 1e-12), (ms_t - ms_e) / bottom).alias("icc"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +15,16 @@ TOKEN_SHARE = 0.25
 
 
 def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if len(a) < len(b):
-        a, b = b, a
-    codes = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    best = np.zeros(len(b) + 1, np.int32)
+    """Length of the longest common subsequence, bit-parallel over the second text."""
+    where: dict[str, int] = {}
+    for i, char in enumerate(b):
+        where[char] = where.get(char, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
     for char in a:
-        same = best[:-1] + (codes == ord(char))
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], same))
-    return int(best[-1])
+        hit = row & where.get(char, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:

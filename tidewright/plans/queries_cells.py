@@ -178,7 +178,7 @@ select per.model, n_clusters, observed, case when n_clusters >= 2 and size = 0 t
 
 @entry(sql(_R1, "cells"), "observed p")
 def r1_sign_flip_exact(spark, sf):
-    rows = cells(spark, sf).withColumn("coarse", F.col("patient").cast("bigint") % 10)
+    rows = cells(spark, sf).withColumn("coarse", F.col("patient").try_cast("bigint") % 10)
     sums = S.cluster_sums(rows, ["model"], "coarse", F.abs("delta_llm_correct") - F.abs("delta_llm_shuffled"))
     return S.sign_flip_exact(sums, ["model"]).withColumn("n_clusters", F.col("n_clusters").cast("bigint"))
 
