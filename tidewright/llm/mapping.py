@@ -134,6 +134,7 @@ class CanonicalList:
         if patterns:
             self.automaton.make_automaton()
         self.words = sorted(t for t in self.holding if not t[0].isdigit())
+        self.longest = max(map(len, self.words), default=0)
         self.near: dict[str, set[str]] = defaultdict(set)
         for word in self.words:
             for short in shortened(word, allowed(len(word))):
@@ -155,7 +156,7 @@ class CanonicalList:
         """Words of the list that the word can stand for, with their costs."""
         if word in self.holding:
             return {word: 0.0}
-        if word[0].isdigit():
+        if word[0].isdigit() or len(word) > self.longest + 3:
             return {}
         out: dict[str, float] = {}
         for short in shortened(word, allowed(len(word) + 1)):

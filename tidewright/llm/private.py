@@ -16,6 +16,7 @@ null array element comes out null. Rows that occur twice come out twice.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
@@ -107,6 +108,24 @@ GIVEN = frozenset(map(_fold, GIVEN_NAMES))
 TOKEN = re.compile("[^\\W\\d_](?:[\\w'’\u0300-\u036f-]*[\\w\u0300-\u036f])?")
 
 
+class Taken:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int]] = []
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.spans, (start, -1))
+        return (i == 0 or self.spans[i - 1][1] <= start) and (i == len(self.spans) or end <= self.spans[i][0])
+
+    def take(self, start: int, end: int) -> bool:
+        """Whether the span was free; it is taken then."""
+        if not self.free(start, end):
+            return False
+        bisect.insort(self.spans, (start, end))
+        return True
+
+
 def _name_spans(text: str) -> list[tuple[int, int]]:
     tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
     at = {s: i for i, (s, _, _) in enumerate(tokens)}
@@ -131,15 +150,13 @@ def _name_spans(text: str) -> list[tuple[int, int]]:
             j += 1
         return j
 
-    spans: list[tuple[int, int]] = []
+    spans = Taken()
 
     def add(i: int, j: int) -> None:
         nxt = folded[j + 1] if gap(j) == " " and j + 1 < len(tokens) else ""
         if nxt in PLACE or folded[j] in PLACE:
             return
-        start, end = tokens[i][0], tokens[j][1]
-        if not any(s < end and start < e for s, e in spans):
-            spans.append((start, end))
+        spans.take(tokens[i][0], tokens[j][1])
 
     def comma_given(i: int) -> bool:
         """Surname, Given at token i."""
@@ -168,17 +185,18 @@ def _name_spans(text: str) -> list[tuple[int, int]]:
         i = at.get(m.start())
         if i is not None and (folded[i] not in PLAIN or initial(i)) and (initial(i) or len(m["v"].split()) > 1) and not folded[i].startswith(("caregiver", "neighbo", "portal")):
             add(i, after(i))
-    return sorted(spans)
+    return spans.spans
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, begin, end) of the mentions in a text, 0-based, in order; begin is at a letter or digit."""
     found: list[tuple[str, int, int]] = []
+    taken = Taken()
 
     def take(kind: str, start: int, end: int) -> None:
         while start < end and not text[start].isalnum():
             start += 1
-        if start < end and not any(s < end and start < e for _, s, e in found):
+        if start < end and taken.take(start, end):
             found.append((kind, start, end))
 
     for m in EMAIL.finditer(text):
@@ -288,7 +306,9 @@ def redact(text: str, key: bytes, dates: bool = True) -> str:
     """The text with placeholders such as [PHONE 263-555-0157] in place of mentions, and its dates permuted."""
     spans = find(text)
     if dates:
-        spans += [("date", m.start(), m.end()) for m in DATE.finditer(text) if is_date(m[0].replace("-", "")) and not any(s < m.end() and m.start() < e for _, s, e in spans)]
+        taken = Taken()
+        taken.spans = [(s, e) for _, s, e in spans]
+        spans += [("date", m.start(), m.end()) for m in DATE.finditer(text) if is_date(m[0].replace("-", "")) and taken.free(m.start(), m.end())]
     out, last = [], 0
     for kind, start, end in sorted(spans, key=lambda x: x[1]):
         value = text[start:end]
