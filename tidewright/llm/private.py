@@ -40,12 +40,11 @@ GIVEN_NAMES = (
     "Rachel Robert Rosa Samuel Sarah Sofia Stefan Susan Thomas Yuki William"
 ).split()
 
-EMAIL = re.compile(
-    r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*"
-    r"(?:[ ]?@[ ]?|[ ]?[\[({]\s?at\s?[\])}][ ]?|[ ]at[ ])"
-    r"[A-Za-z0-9-]+(?:(?:\.|[ ]?[\[({]\s?dot\s?[\])}][ ]?|[ ]dot[ ])[A-Za-z0-9-]+)*(?:\.|[ ]?[\[({]\s?dot\s?[\])}][ ]?|[ ]dot[ ])[A-Za-z]{2,}",
-    re.IGNORECASE,
-)
+_LOCAL = r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*"
+_DOT = r"(?:\.|[ ]?[\[({]\s?dot\s?[\])}][ ]?|[ ]dot[ ])"
+_DOMAIN = rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}"
+#: With the sign, then with the word.
+EMAIL = [re.compile(_LOCAL + r"[ ]?@[ ]?" + _DOMAIN, re.IGNORECASE), re.compile(_LOCAL + r"(?:[ ]?[\[({]\s?at\s?[\])}][ ]?|[ ]at[ ])" + _DOMAIN, re.IGNORECASE)]
 #: What follows a quantity, not a telephone number.
 UNIT = r"(?!\s?(?:mg|g|kg|ml|l|mcg|µg|μg|iu|units?|u/l|mmol|ng|pg|cells|vials?|days?|weeks?|years?|times|steps|kcal|%)\b)"
 PHONE = re.compile(
@@ -199,8 +198,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
         if start < end and taken.take(start, end):
             found.append((kind, start, end))
 
-    for m in EMAIL.finditer(text):
-        take("email", m.start(), m.end())
+    for rule in EMAIL:
+        for m in rule.finditer(text):
+            take("email", m.start(), m.end())
     for rule in ID_NUMBER[:1]:
         for m in rule.finditer(text):
             if any(c.isdigit() for c in m["v"]):
