@@ -118,3 +118,9 @@ def shown_number(value: Column) -> Column:
 
 def shown_p(value: Column) -> Column:
     return F.when(value.isNull() | F.isnan(value), "N/A").when(value < 0.0001, "< 0.0001").otherwise(F.format_string("%.4f", value))
+
+
+def context_line(fields: dict[str, Column]) -> Column:
+    """All fields in one line, name and value; lists are joined by commas, missing ones left blank."""
+    parts = [F.concat(F.lit(f"{name}: "), F.coalesce(F.array_join(v, ", "), F.lit(""))) for name, v in fields.items()]
+    return F.concat_ws("; ", *parts)

@@ -93,7 +93,7 @@ def wasserstein(values: DataFrame, groups: list[str], left: str, right: str) ->
 
 def binary_entropy(p: Column) -> Column:
     """Bits of a yes-no probability, clipped to 0 to 1; 0 at both ends."""
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    p = F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
     return F.when((p == 0) | (p == 1), 0.0).otherwise(-(p * F.log2(p) + (1 - p) * F.log2(1 - p)))
 
 

@@ -153,3 +153,13 @@ def fusion_or_passthrough(rows: DataFrame, fused_p: str, plain_p: str, label: st
 def ensemble_mean(preds: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, p): the mean of the folds' predictions, clipped to 0 to 1."""
     return preds.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("p"))).alias("p"))
+
+
+def one_hot(entity: str, entities: list[str]) -> Column:
+    """The entity's indicator vector over a given list; zeros for another entity."""
+    return F.transform(F.array(*map(F.lit, entities)), lambda e: F.when(e == F.col(entity), 1.0).otherwise(0.0))
+
+
+def usable_token(text: Column, category: Column) -> Column:
+    """Whether a field holds a value: neither blank nor the mere name of its category."""
+    return text.isNotNull() & (F.trim(text) != "") & (F.lower(F.trim(text)) != F.lower(category))

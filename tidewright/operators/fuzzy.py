@@ -177,3 +177,11 @@ def strata(rows: DataFrame, item: str, train_items: DataFrame) -> DataFrame:
     """The rows marked repeated when their item, case and outer blanks aside, occurs in training, else novel."""
     known = train_items.select(F.lower(trimmed(F.col("item"))).alias("__i")).where("__i is not null").distinct().withColumn("__k", F.lit(True))
     return rows.withColumn("__i", F.lower(trimmed(F.col(item)))).join(known, "__i", "left").withColumn("stratum", F.when(F.col("__k"), "repeated").otherwise("novel")).drop("__i", "__k")
+
+
+def index_map(rows: DataFrame, row: str, mapping: dict) -> DataFrame:
+    """(row, value): values by row number; a key may be the number or its plain text, the number wins."""
+    exact = {k: v for k, v in mapping.items() if isinstance(k, int)}
+    plain = {int(k): v for k, v in mapping.items() if isinstance(k, str) and k.isdecimal() and str(int(k)) == k}
+    table = rows.sparkSession.createDataFrame(sorted((plain | exact).items()), f"`{row}` bigint, value string")
+    return rows.select(row).join(table, row, "left")
