@@ -92,3 +92,30 @@ def test_isotonic(spark):
     got = [r.calibrated for r in M.isotonic(preds(spark, rows)).orderBy("p").collect()]
     assert got == sorted(got) and got[0] == 0.0 and got[-1] == 1.0
     assert M.isotonic(preds(spark, [])).count() == 0
+
+
+def test_running_sums(spark):
+    import random
+
+    from tidewright.plans.prefix import running_sums, value_ranks
+
+    rng = random.Random(3)
+    rows = [(g, x, rng.randrange(10)) for g in ("a", None, "b") for x in {round(rng.expovariate(1), 3) for _ in range(200)}] + [("one", 5.0, 2)]
+    df = spark.createDataFrame(rows, "g string, x double, v int")
+    for down in (False, True):
+        got = {(r.g, r.x): (r.run_v, r.all_v, r.next_order) for r in running_sums(df, ["g"], "x", ["v"], down, 16).collect()}
+        for g in ("a", None, "b", "one"):
+            own = sorted(((x, v) for h, x, v in rows if h == g), reverse=down)
+            total = 0
+            for i, (x, v) in enumerate(own):
+                total += v
+                assert got[g, x] == (total, sum(v for _, v in own), own[i + 1][0] if i + 1 < len(own) else None)
+    ties = spark.createDataFrame([("g", 1.0), ("g", 1.0), ("g", 2.0), ("g", None)], "g string, x double")
+    assert {(r.x, r.rank) for r in value_ranks(ties, ["g"], "x").collect()} == {(1.0, 1.5), (2.0, 3.0)}
+    assert running_sums(df.limit(0), ["g"], "x", ["v"]).count() == 0
+
+
+def test_wasserstein(spark):
+    df = spark.createDataFrame([("g", 0.1, 0.5), ("g", 0.9, 0.0), ("g", 0.4, 1.0), ("g", None, 1.0)], "g string, l double, r double")
+    want = sum(abs(a - b) for a, b in zip(sorted([0.1, 0.9, 0.4]), sorted([0.5, 0.0, 1.0]))) / 3
+    assert G.wasserstein(df, ["g"], "l", "r").first().w1 == pytest.approx(want)

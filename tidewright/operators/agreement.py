@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.operators.endpoints import average_rank
+from tidewright.plans.prefix import running_sums
 
 
 def normal_tail(z: float) -> float:
@@ -70,25 +70,31 @@ def brier_improvement(cells: DataFrame, groups: list[str]) -> DataFrame:
 
 def signed_rank(values: DataFrame, groups: list[str], value: str) -> DataFrame:
     """(groups, n, w_plus): Wilcoxon's rank sum of positive differences; zeros are left out, ties share their rank."""
-    nonzero = values.where(f"{value} <> 0").withColumn("__a", F.abs(value))
-    ranked = nonzero.withColumn("__r", average_rank("__a", *groups))
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(value) > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"))
+    sided = values.where(f"{value} <> 0").select(*groups, F.abs(value).alias("__a"), (F.col(value) > 0).cast("int").alias("__up"))
+    ups = sided.groupBy(*groups, "__a").agg(F.count(F.lit(1)).alias("__n"), F.sum("__up").alias("__u"))
+    ranked = running_sums(ups, groups, "__a", ["__n"])
+    rank = F.col("run___n") - F.col("__n") + (F.col("__n") + 1) / 2
+    return ranked.groupBy(*groups).agg(F.sum("__n").alias("n"), F.sum(F.col("__u") * rank).alias("w_plus"))
 
 
 def rank_sum(values: DataFrame, groups: list[str], value: str, first: Column) -> DataFrame:
     """(groups, n1, n2, u): Mann-Whitney U of the rows marked first against the others, ties half."""
-    ranked = values.where(F.col(value).isNotNull()).withColumn("__f", first).withColumn("__r", average_rank(value, *groups))
-    sums = ranked.groupBy(*groups).agg(F.count_if("__f").alias("n1"), F.count_if(~F.col("__f")).alias("n2"), F.sum(F.when(F.col("__f"), F.col("__r")).otherwise(0.0)).alias("r1"))
+    sided = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("__v"), first.cast("int").alias("__f"))
+    counts = sided.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"), F.sum("__f").alias("__k"))
+    ranked = running_sums(counts, groups, "__v", ["__n"])
+    rank = F.col("run___n") - F.col("__n") + (F.col("__n") + 1) / 2
+    sums = ranked.groupBy(*groups).agg(F.sum("__k").alias("n1"), F.sum(F.col("__n") - F.col("__k")).alias("n2"), F.sum(F.col("__k") * rank).alias("r1"))
     return sums.select(*groups, "n1", "n2", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
 
 
 def wasserstein(values: DataFrame, groups: list[str], left: str, right: str) -> DataFrame:
-    """(groups, w1): mean distance of the sorted left and the sorted right values."""
-    whole = values.dropna(subset=[left, right])
-    rank = lambda c: F.row_number().over(W.partitionBy(*groups).orderBy(c))
-    a = whole.select(*groups, F.col(left).alias("l"), rank(left).alias("k"))
-    b = whole.select(*groups, F.col(right).alias("r"), rank(right).alias("k"))
-    return a.join(b, [*groups, "k"]).groupBy(*groups).agg(F.avg(F.abs(F.col("l") - F.col("r"))).alias("w1"))
+    """(groups, w1): distance of the distributions of left and right, the area between their cumulated shares."""
+    side = lambda c, m, n: F.struct(F.col(c).cast("double").alias("__x"), F.lit(m).alias("__m"), F.lit(n).alias("__l"))
+    sides = F.array(side(left, 1, 1), side(right, -1, 0))
+    masses = values.dropna(subset=[left, right]).select(*groups, F.inline(sides)).groupBy(*groups, "__x").agg(F.sum("__m").alias("__m"), F.sum("__l").alias("__l"))
+    run = running_sums(masses, groups, "__x", ["__m", "__l"])
+    step = F.coalesce(F.col("next_order") - F.col("__x"), F.lit(0.0))
+    return run.groupBy(*groups).agg((F.sum(F.abs("run___m") * step) / F.max("all___l")).alias("w1"))
 
 
 def binary_entropy(p: Column) -> Column:

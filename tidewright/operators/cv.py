@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.operators.resample import hash_number
+from tidewright.plans.prefix import running_sums
 
 
 def leave_one_out(rows: DataFrame, entity: str) -> DataFrame:
@@ -16,9 +17,15 @@ def leave_one_out(rows: DataFrame, entity: str) -> DataFrame:
 
 
 def hash_folds(rows: DataFrame, entity: str, k: int, seed: int) -> DataFrame:
-    """(entity, fold): entities in hash order dealt into k folds, as even as can be."""
-    entities = rows.where(F.col(entity).isNotNull()).select(entity).distinct().withColumn("__h", hash_number(F.lit(str(seed)), F.col(entity).cast("string")))
-    return entities.withColumn("fold", (F.row_number().over(W.orderBy("__h", entity)) - 1) % k).drop("__h")  # one row per entity
+    """(entity, fold): entities in hash order dealt into k folds, as even as can be.
+
+    Entities of one hash are ordered by name; positions come from running sums
+    over hash buckets, so no task holds all entities.
+    """
+    hashed = rows.where(F.col(entity).isNotNull()).select(entity).distinct().withColumn("__h", hash_number(F.lit(str(seed)), F.col(entity).cast("string")))
+    counts = running_sums(hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list(entity)).alias("__e")), [], "__h", ["__n"])
+    dealt = counts.select(F.posexplode("__e").alias("__i", entity), (F.col("run___n") - F.col("__n")).alias("__o"))
+    return dealt.select(entity, ((F.col("__o") + F.col("__i")) % k).cast("int").alias("fold"))
 
 
 def group_folds(spark, entities: list[str], k: int, seed: int) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.plans.prefix import running_sums
+
 
 def confusion(preds: DataFrame, groups: list[str], threshold: float | Column = 0.5) -> DataFrame:
     """(groups, tp, fp, fn, tn): sums of soft labels on both sides of the threshold."""
@@ -32,11 +34,9 @@ def precision_recall(counts: DataFrame, beta: float = 0.5) -> DataFrame:
 
 
 def _cumulated(preds: DataFrame, groups: list[str]) -> DataFrame:
-    """Per distinct score, from the largest on: mass at it and mass down to it."""
+    """Per distinct score, from the largest on: mass at it (pos, neg), down to it (tp, fp) and in all."""
     at = preds.groupBy(*groups, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    run = W.partitionBy(*groups).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*groups)
-    return at.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
+    return running_sums(at, groups, "p", ["pos", "neg"], descending=True).withColumnsRenamed({"run_pos": "tp", "run_neg": "fp"})
 
 
 def pr_curve(preds: DataFrame, groups: list[str]) -> DataFrame:
@@ -47,10 +47,12 @@ def pr_curve(preds: DataFrame, groups: list[str]) -> DataFrame:
 
 def average_precision(preds: DataFrame, groups: list[str]) -> DataFrame:
     """(groups, ap, auc_pr): step-wise average precision and the area by trapezoids from (0, 1); without positives 0."""
-    curve = pr_curve(preds, groups)
-    order = W.partitionBy(*groups).orderBy(F.desc("p"))
-    steps = curve.withColumns({"r0": F.lag("recall", 1, 0.0).over(order), "q0": F.lag("precision", 1, 1.0).over(order)})
-    return steps.groupBy(*groups).agg(F.sum((F.col("recall") - F.col("r0")) * F.col("precision")).alias("ap"), F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("q0")) / 2).alias("auc_pr"))
+    c = _cumulated(preds, groups)
+    before = F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")
+    precision = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+    last = F.when(before > 1e-12, (F.col("tp") - F.col("pos")) / before).otherwise(1.0)
+    gain = ratio(F.col("pos"), F.col("all_pos"))
+    return c.groupBy(*groups).agg(F.sum(gain * precision).alias("ap"), F.sum(gain * (precision + last) / 2).alias("auc_pr"))
 
 
 def roc_auc(preds: DataFrame, groups: list[str]) -> DataFrame:
