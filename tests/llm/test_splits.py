@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidewright.llm import splits
 
 IDS = ["patient_id", "author_id", "source_id"]
@@ -42,7 +44,9 @@ def brute(rows):
     return {row: (g, least.get(g)) for g, rows_ in groups.items() for row in rows_}
 
 
-def test_groups_against_union_find(spark):
+@pytest.mark.parametrize("small", [0, 50, splits.SMALL_GRAPH])
+def test_groups_against_union_find(spark, monkeypatch, small):
+    monkeypatch.setattr(splits, "SMALL_GRAPH", small)
     rng = random.Random(3)
     rows = []
     for i in range(400):
@@ -59,7 +63,9 @@ def test_groups_against_union_find(spark):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
-def test_long_chain_is_one_group(spark):
+@pytest.mark.parametrize("small", [0, splits.SMALL_GRAPH])
+def test_long_chain_is_one_group(spark, monkeypatch, small):
+    monkeypatch.setattr(splits, "SMALL_GRAPH", small)
     rows = [(i, f"{i // 2}", f"A{(i + 1) // 2}", None) for i in range(400)]
     got = splits.grouped(frame(spark, rows), "row_id", IDS).select("root", "group_no").distinct().collect()
     assert [r.group_no for r in got] == [0] * len(got)

@@ -10,7 +10,8 @@ components are found by breadth-first search from many seeds at once:
    adjacency list hashed by node, each node keeping the smallest seed that
    reaches it first; a node that none reaches becomes a seed;
 3. edges between nodes of different seeds are collisions: they make a graph of
-   seeds, far smaller, on which the same is done, until no edge is left.
+   seeds, far smaller. While it has more than SMALL_GRAPH edges the same is done
+   on it; then its seeds are merged in one task.
 
 Components are then put into the splits in hash order, by cumulated row counts.
 Components of at least 1/LARGE of all rows, of which there are at most LARGE,
@@ -23,6 +24,9 @@ results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +38,8 @@ from tidewright.session import cut
 ID_NUMBER = r"^[^0-9]*0*([0-9]+?)(?:\.0+)?[^0-9]*$"
 LARGE = 100
 HOPS = 2
+#: Edges that one task merges; a graph of more is searched again.
+SMALL_GRAPH = 200_000
 BUCKETS = 1024
 
 
@@ -74,11 +80,36 @@ def _seeded(adjacent: DataFrame) -> DataFrame:
     return labels.select("node", F.coalesce("seed", "node").alias("seed"))
 
 
+def _merged(edges: DataFrame) -> DataFrame:
+    """(node, seed) of a small graph, merged in one task; the seed is the smallest node of the component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                a, b = find(a), find(b)
+                parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        yield pd.DataFrame({"node": nodes, "seed": [find(x) for x in nodes]}, dtype=object)
+
+    return edges.coalesce(1).mapInPandas(run, "node string, seed string")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is one node of the component."""
     maps: list[DataFrame] = []
     edges = cut(edges)
-    while not edges.isEmpty():
+    while (n := edges.count()) > 0:
+        if maps and n <= SMALL_GRAPH:
+            maps.append(cut(_merged(edges)))
+            break
         seeds = cut(_seeded(_both_ways(edges)))
         maps.append(seeds)
         of = lambda end: seeds.select(F.col("node").alias(end), F.col("seed").alias(f"seed_{end}"))
