@@ -22,7 +22,6 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -224,7 +223,7 @@ ROUNDS = 10
 
 
 def _mix(key: bytes, tag: str, round_: int, half: int, size: int) -> int:
-    return int.from_bytes(hmac.new(key, f"{tag}:{round_}:{half}".encode(), hashlib.sha256).digest(), "big") % size
+    return int.from_bytes(hashlib.blake2b(f"{tag}:{round_}:{half}".encode(), key=key[:64], digest_size=16).digest(), "big") % size
 
 
 def permute(value: int, size: int, key: bytes, tag: str, invert: bool = False) -> int:
@@ -261,12 +260,15 @@ def _decode(rank: int, shape: str) -> str:
     return "".join(reversed(out))
 
 
+def check_digit(nine: str) -> str | None:
+    """The modulus-11 check digit of nine digits; null where there is none."""
+    check = (11 - sum(int(d) * (10 - i) for i, d in enumerate(nine)) % 11) % 11
+    return None if check == 10 else str(check)
+
+
 def nhs_valid(digits: str) -> bool:
     """Ten digits with a modulus-11 check digit."""
-    if len(digits) != 10 or not digits.isdigit():
-        return False
-    check = 11 - sum(int(d) * (10 - i) for i, d in enumerate(digits[:9])) % 11
-    return check % 11 == int(digits[9]) and check != 10
+    return len(digits) == 10 and digits.isdigit() and check_digit(digits[:9]) == digits[9]
 
 
 def is_date(digits: str) -> bool:
@@ -277,26 +279,38 @@ def is_date(digits: str) -> bool:
         return False
 
 
-def pseudonym(value: str, key: bytes, kind: str = "number", invert: bool = False, keeps: Callable[[str], bool] | None = None) -> str:
-    """The value with its letters and digits permuted within its format; ``keeps`` is a property that is preserved."""
+def pseudonym(value: str, key: bytes, kind: str = "number", invert: bool = False) -> str:
+    """The value with its letters and digits permuted within its format.
+
+    A number with a valid check digit maps to one with a valid check digit, one
+    without to one without, so the map stays one to one.
+    """
     core = "".join(c for c in value if c.isascii() and c.isalnum())
-    rank, size = _encode(core)
+    valid = nhs_valid(core)
+    base = core[:9] if valid else core
+    rank, size = _encode(base)
     if size < 2:
         return value
-    tag = f"{kind}:{''.join('9' if c.isdigit() else 'A' for c in core)}"
-    if keeps is None:
-        keeps = nhs_valid if nhs_valid(core) else None
-    while True:  # a walk inside the property's cycle, so the map stays one to one
+    tag = f"{kind}:{valid}:{''.join('9' if c.isdigit() else 'A' for c in core)}"
+    while True:  # a walk inside the cycle of those that are alike
         rank = permute(rank, size, key, tag, invert)
-        if keeps is None or keeps(_decode(rank, core)):
+        made = _decode(rank, base)
+        if valid and (digit := check_digit(made)) is not None:
+            made += digit
             break
-    new = iter(_decode(rank, core))
+        if not valid and not nhs_valid(made):
+            break
+    new = iter(made)
     return "".join(next(new) if c.isascii() and c.isalnum() else c for c in value)
 
 
+_FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+
+
 def pseudonym_date(value: str, key: bytes, invert: bool = False) -> str:
     """An ISO date permuted among the days from 1900 to 2099."""
-    return pseudonym(value, key, "date", invert, is_date)
+    day = datetime.date.fromisoformat(value).toordinal() - _FIRST
+    return datetime.date.fromordinal(_FIRST + permute(day, _LAST - _FIRST + 1, key, "date", invert)).isoformat()
 
 
 DATE = re.compile(r"(?<![\w-])(?:19|20)\d\d-\d\d-\d\d(?![\w-])")
