@@ -111,11 +111,12 @@ class CanonicalList:
                 more, less = list((said - have).elements()), list((have - said).elements())
                 if len(more) == len(less) == 1 and not more[0][0].isdigit() and not less[0][0].isdigit():
                     learned[more[0], less[0]] += 1
-        vocabulary = {t for _, item, _ in self.rows for t in tokens(item) if not t[0].isdigit()}
+        self.vocabulary = vocabulary = {t for _, item, _ in self.rows for t in tokens(item) if not t[0].isdigit()}
         self.spelled = {a: b for a, b in ABBREVIATIONS.items() if a not in vocabulary}
         for (a, b), n in sorted(learned.items(), key=lambda x: x[1]):
             if n > 1 and a not in vocabulary:
                 self.spelled[a] = b
+        self.spell_long = lru_cache(CACHE)(self._spell_long)
         self.items: dict[int, list[str]] = {}
         self.holding: dict[str, set[int]] = defaultdict(set)
         self.automaton = ahocorasick.Automaton()
@@ -143,7 +144,13 @@ class CanonicalList:
         self.map = lru_cache(CACHE)(self._map)
 
     def spell(self, found: list[str]) -> list[str]:
-        return [self.spelled.get(t, t) for t in found]
+        return [self.spelled.get(t) or self.spell_long(t) for t in found]
+
+    def _spell_long(self, token: str) -> str:
+        """What a long abbreviation with up to two typing errors stands for; else the token."""
+        if not 7 < len(token) < 20 or token in self.vocabulary:
+            return token
+        return next((b for a, b in self.spelled.items() if len(a) > 7 and a in ABBREVIATIONS and errors(token, a, 2) <= 2), token)
 
     def content(self, text: str) -> list[str]:
         """The spelled tokens of a text without fillers that no item has."""
