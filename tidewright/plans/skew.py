@@ -20,14 +20,18 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE, least: int
     return counts.where(F.col("n_rows") >= max(least, -(-total // share)))
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: Column, how: str = "left", share: int = HOT_SHARE) -> DataFrame:
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: Column, how: str = "left", share: int = HOT_SHARE, hot: DataFrame | None = None) -> DataFrame:
     """Join ``left`` to ``right``, unique in ``key``, with the hot keys of ``left`` salted.
 
+    ``hot`` names the hot keys, at most ``share`` rows, where they are known.
+
     Rows of a hot key are spread over SALTS reducers by ``spread_by``; only the
     hot rows of ``right`` (at most ``share``) are repeated, once per salt. Null
     keys match nothing and are kept by a left join.
     """
-    hot = F.broadcast(hot_keys(left.where(F.col(key).isNotNull()), [key], share).select(F.col(key).alias("__hot")))
+    if hot is None:
+        hot = hot_keys(left.where(F.col(key).isNotNull()), [key], share)
+    hot = F.broadcast(hot.select(F.col(key).alias("__hot")))
     salted = (
         left.join(hot, left[key] == F.col("__hot"), "left")
         .withColumn("__salt", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(F.lit(0)))
