@@ -51,6 +51,9 @@ def test_bootstrap(spark):
     assert got["g"].point == pytest.approx(point) and got["g"].low <= point <= got["g"].high
     assert abs(got["g"].low - low) < 0.15 and abs(got["g"].high - high) < 0.15
     assert got["one"].point == 3.0 and got["one"].low is None
+    poisson = {r.g: r for r in S.bootstrap_poisson(sums(spark, rows), ["g"], 2000, 1).collect()}
+    assert poisson["g"].point == pytest.approx(point) and abs(poisson["g"].low - low) < 0.2 and abs(poisson["g"].high - high) < 0.2
+    assert poisson["one"].n_clusters == 1 and poisson["one"].low is None
 
 
 def test_numpy_bootstrap_is_a_plain_cluster_bootstrap():

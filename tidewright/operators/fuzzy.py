@@ -157,15 +157,17 @@ class FuzzyMatcher:
 def fuzzy_fallback(rows: DataFrame, text: str, key: str, forms: DataFrame, threshold: float = 85, cap: int = BLOCK_CAP) -> DataFrame:
     """(key, text, match, score): the nearest form of each unresolved text that shares a block with it, null below the threshold.
 
-    Distinct texts are compared; blocks larger than ``cap`` forms are narrowed to
-    the forms of the same key, never crossed with everything.
+    Distinct texts are compared with the forms of their blocks; a block of more
+    than ``cap`` forms and the length class alone bring nobody together, so a
+    text meets a bounded number of forms, in one pass over the texts.
     """
     threshold = threshold / 100 if threshold > 1 else threshold
     texts = rows.where(F.col(text).isNotNull() & (trimmed(F.col(text)) != "")).select(key, trimmed(F.col(text)).alias("text"))
     queries = texts.select("text").distinct().select(F.xxhash64("text").alias("id"), "text", folded_ascii(F.col("text")).alias("norm")).where("norm <> ''")
     known = forms.select(F.xxhash64("form").alias("fid"), "form", "canonical", folded_ascii(F.col("form")).alias("fnorm")).where("fnorm <> ''")
-    qk = block_keys(queries)
+    qk = block_keys(queries).where(~F.startswith("key", F.lit("l:")))
     fk = block_keys(known.select(F.col("fid").alias("id"), F.col("fnorm").alias("norm"))).withColumnRenamed("id", "fid")
+    fk = fk.join(fk.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).select("key"), "key")
     pairs = qk.join(fk, "key").groupBy("id", "fid").agg(F.count(F.lit(1)).alias("shared"))
     scored = pairs.where("shared >= 2").join(queries, "id").join(known, "fid").withColumn("score", similarity_udf("norm", "fnorm"))
     best = scored.groupBy("text").agg(F.max_by(F.struct("canonical", "score"), F.struct("score", F.lit(0) - F.col("fid"))).alias("m"))

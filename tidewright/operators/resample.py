@@ -82,15 +82,47 @@ def sign_flip_exact(sums: DataFrame, groups: list[str], most: int = 16) -> DataF
     For at most ``most`` clusters a group; others have a null p. All sums zero
     gives 1, fewer than two clusters null.
     """
-    per = sums.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("cluster", "s"))).alias("c")).withColumn("v", F.col("c.s"))
-    per = per.select(*groups, "v", F.size("v").alias("n_clusters"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("observed"), F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("size"))
-    flips = per.where(f"n_clusters between 2 and {most} and size > 0").withColumn("mask", F.explode(F.expr("sequence(0L, shiftleft(1L, n_clusters) - 1)")))
-    null = F.expr("aggregate(sequence(0, n_clusters - 1), 0D, (a, i) -> a + if((shiftright(mask, i) & 1L) = 1, -v[i], v[i]))")
+    per = sums.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("s").alias("observed"), F.sum(F.abs("s")).alias("size"))
+    few = per.where(f"n_clusters between 2 and {most} and size > 0")
+    lists = sums.join(few, groups).groupBy(*groups, "n_clusters", "observed", "size").agg(F.array_sort(F.collect_list(F.struct("cluster", "s"))).alias("c"))  # at most ``most`` clusters
+    flips = lists.withColumn("v", F.col("c.s")).withColumn("mask", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(n_clusters as int)) - 1)")))
+    null = F.expr("aggregate(sequence(0, cast(n_clusters as int) - 1), 0D, (a, i) -> a + if((shiftright(mask, i) & 1L) = 1, -v[i], v[i]))")
     shares = flips.withColumn("hit", (null >= F.col("observed") - 1e-12 * F.greatest(F.lit(1.0), F.col("size"))).cast("double")).groupBy(*groups).agg(F.avg("hit").alias("share"))
     p = F.when((F.col("n_clusters") >= 2) & (F.col("size") == 0), F.lit(1.0)).otherwise(F.col("share"))
     return per.join(shares, groups, "left").select(*groups, "n_clusters", "observed", p.alias("p"))
 
 
+def bootstrap_poisson(sums: DataFrame, groups: list[str], resamples: int, seed: int) -> DataFrame:
+    """(groups, n_clusters, point, low, high): percentile interval of the mean where each cluster is drawn a Poisson number of times.
+
+    For any number of clusters: the draws of a cluster come from a generator
+    seeded by its hash, tasks add up their own clusters, and one array pair per
+    task and group is shuffled.
+    """
+    kinds = dict(sums.dtypes)
+    keyed = sums.select(*groups, F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"), F.xxhash64(F.lit(seed), F.col("cluster").cast("string")).alias("h"))
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "bs array<double>", "bn array<double>", "s double", "n double", "c bigint"])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                times = np.random.default_rng(row.h & 0xFFFFFFFFFFFFFFFF).poisson(1.0, resamples)
+                acc = held.setdefault(tuple(getattr(row, g) for g in groups), [np.zeros(resamples), np.zeros(resamples), 0.0, 0.0, 0])
+                acc[0] += times * row.s
+                acc[1] += times * row.n
+                acc[2], acc[3], acc[4] = acc[2] + row.s, acc[3] + row.n, acc[4] + 1
+        for key, (bs, bn, s, n, c) in held.items():
+            yield pd.DataFrame({**dict(zip(groups, ([k] for k in key), strict=True)), "bs": [bs], "bn": [bn], "s": [s], "n": [n], "c": [c]})
+
+    parts = keyed.mapInPandas(partial, schema)
+    totals = parts.groupBy(*groups).agg(F.sum("c").alias("n_clusters"), (F.sum("s") / F.sum("n")).alias("point"))
+    reps = parts.select(*groups, F.posexplode(F.arrays_zip("bs", "bn")).alias("rep", "x")).groupBy(*groups, "rep").agg(F.sum("x.bs").alias("bs"), F.sum("x.bn").alias("bn")).where("bn > 0")
+    ci = reps.groupBy(*groups).agg(F.percentile(F.col("bs") / F.col("bn"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    end = lambda i: F.when(F.col("n_clusters") > 1, F.get("q", F.lit(i)))
+    return totals.join(ci, groups, "left").select(*groups, "n_clusters", "point", end(0).alias("low"), end(1).alias("high"))
+
+
 def sign_flip_sampled(sums: DataFrame, groups: list[str], permutations: int, seed: int) -> DataFrame:
     """(groups, n_clusters, observed, p): the sampled sign flip, p = (1 + hits) / (permutations + 1).
 

@@ -175,8 +175,10 @@ def conflicting_groups(rows: DataFrame, keys: list[str], classes: list[str]) ->
 
 def observer_agreement(rows: DataFrame, classes: list[str], order: str, stage: str = "sheet") -> DataFrame:
     """Per stage and patient: how often the first two observers of a patient give equal labels on items that both labelled."""
-    ranked = rows.where("patient is not null and physician is not null and item is not null").withColumn("obs", F.dense_rank().over(W.partitionBy(stage, "patient").orderBy("physician")))
-    one = ranked.where("obs <= 2").withColumn("rn", F.row_number().over(W.partitionBy(stage, "patient", "item", "physician").orderBy(F.desc(order)))).where("rn = 1")
+    whole = rows.where("patient is not null and physician is not null and item is not null")
+    pairs = whole.select(stage, "patient", "physician").distinct()  # ranked before the rows are touched: a patient may hold many
+    first = pairs.withColumn("obs", F.row_number().over(W.partitionBy(stage, "patient").orderBy("physician"))).where("obs <= 2")
+    one = whole.join(first, [stage, "patient", "physician"]).withColumn("rn", F.row_number().over(W.partitionBy(stage, "patient", "item", "physician").orderBy(F.desc(order)))).where("rn = 1")
     wide = one.groupBy(stage, "patient", "item").agg(F.max(F.when(F.col("obs") == 1, F.array(*classes))).alias("a"), F.max(F.when(F.col("obs") == 2, F.array(*classes))).alias("b")).where("a is not null and b is not null")
     long = wide.select(stage, "patient", F.inline(F.arrays_zip("a", "b"))).where("a is not null and b is not null")
     return long.groupBy(stage, "patient").agg(F.count(F.lit(1)).alias("n_labels"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("agreement"))

@@ -162,6 +162,12 @@ def b1_bootstrap_hash_draws(spark, sf):
     return S.bootstrap_means(sums, ["model"], 200, 42)
 
 
+@entry()
+def b1_bootstrap_poisson(spark, sf):
+    sums = S.cluster_sums(cells(spark, sf), ["model"], "patient", F.abs("delta_llm_correct") - F.abs("delta_llm_shuffled"))
+    return S.bootstrap_poisson(sums, ["model"], 1000, 42)
+
+
 @entry()
 def b1_bootstrap_metric(spark, sf):
     """Median shift with an interval, by the general bootstrap of a metric."""
@@ -180,7 +186,7 @@ select per.model, n_clusters, observed, case when n_clusters >= 2 and size = 0 t
 def r1_sign_flip_exact(spark, sf):
     rows = cells(spark, sf).withColumn("coarse", F.col("patient").try_cast("bigint") % 10)
     sums = S.cluster_sums(rows, ["model"], "coarse", F.abs("delta_llm_correct") - F.abs("delta_llm_shuffled"))
-    return S.sign_flip_exact(sums, ["model"]).withColumn("n_clusters", F.col("n_clusters").cast("bigint"))
+    return S.sign_flip_exact(sums, ["model"])
 
 
 @entry()
