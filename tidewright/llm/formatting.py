@@ -16,6 +16,7 @@ empty result; a repeated id is a row of its own.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.plans.skew import SALTS, hot_keys
@@ -71,13 +72,13 @@ def _hot_totals(keyed: DataFrame, hot: DataFrame) -> DataFrame:
 def copy_links(df: DataFrame, id_col: str, texts: list[str], lists: list[str], ignore: list[str] = (), required: list[str] = ()) -> DataFrame:
     """One row (first_id, row_id) for each record that is a copy of the record first_id.
 
-    The rows of a key that isn't hot meet in one shuffle; their number is below
-    the hot threshold. The rows of hot keys stay where they are and look up
-    their representative in the totals, at most one row per hot key.
+    The rows of a key that isn't hot meet in one shuffle, where their smallest
+    id is taken; a group is streamed, never held as a list. The rows of hot keys
+    stay where they are and look up their representative in the totals, at most
+    one row per hot key.
     """
     keyed = _keyed(df, id_col, texts, lists, ignore, required)
     hot = F.broadcast(hot_keys(keyed, ["k"]).select("k"))
-    rest = keyed.join(hot, "k", "left_anti").groupBy("k").agg(F.min("id").alias("first_id"), F.collect_list("id").alias("ids"))
-    rest = rest.where(F.size("ids") > 1).select("first_id", F.explode("ids").alias("row_id"))
+    rest = keyed.join(hot, "k", "left_anti").select(F.min("id").over(W.partitionBy("k")).alias("first_id"), F.col("id").alias("row_id"))
     of_hot = keyed.join(F.broadcast(_hot_totals(keyed, hot)), "k").select("first_id", F.col("id").alias("row_id"))
     return rest.unionByName(of_hot).where("row_id <> first_id")
