@@ -92,7 +92,7 @@ RESAMPLED = {
 def endpoint_intervals(cells: DataFrame, endpoint: str, resamples: int = 1000, permutations: int = 10000, seed: int = 42) -> DataFrame:
     """(model, category, point, low, high, p): cluster bootstrap interval and sign-flip p of an endpoint, missing values left out."""
     value, where = RESAMPLED[endpoint]
-    sums = cluster_sums(by_model_and_category(cells.where(where)), ["model", "category"], "patient", F.expr(value)).persist()
+    sums = cluster_sums(by_model_and_category(cells.where(where)), ["model", "category"], "patient", F.expr(value))
     ci = bootstrap_means(sums, ["model", "category"], resamples, seed)
     p = sign_flip_sampled(sums, ["model", "category"], permutations, seed).select("model", "category", "p")
     return ci.join(p, ["model", "category"], "left")

@@ -88,9 +88,13 @@ def similar_edges(items: DataFrame, threshold: float, cap: int = BLOCK_CAP) -> D
     """Candidate pairs whose similarity reaches the threshold, or three quarters of it when one contains the other."""
     threshold = threshold / 100 if threshold > 1 else threshold
     side = lambda n: items.select(F.col("id").alias(n), F.col("norm").alias(f"norm_{n}"))
-    scored = candidate_pairs(items, cap).join(side("a"), "a").join(side("b"), "b").withColumn("sim", similarity_udf("norm_a", "norm_b"))
+    pairs = candidate_pairs(items, cap).join(side("a"), "a").join(side("b"), "b")
     inside = F.contains("norm_a", F.col("norm_b")) | F.contains("norm_b", F.col("norm_a"))
-    return scored.where((F.col("sim") >= threshold) | inside & (F.col("sim") >= 0.75 * threshold)).select("a", "b", "sim")
+    needed = F.when(inside, 0.75 * threshold).otherwise(threshold)
+    # no ratio exceeds twice the shorter length by both lengths, so most pairs need no Python
+    most = 2 * F.least(F.length("norm_a"), F.length("norm_b")) / (F.length("norm_a") + F.length("norm_b"))
+    scored = pairs.where(most >= needed - 1e-9).withColumns({"need": needed, "sim": similarity_udf("norm_a", "norm_b")})
+    return scored.where("sim >= need").select("a", "b", "sim")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -30,13 +30,44 @@ def resolved_rows(df: DataFrame, keys: list[str], observer: str, classes: list[s
     return marked.where((F.col("__n") == count) | whole | null_key).drop("__copies", "__rn", "__n", "__least", "__uniq")
 
 
+def _aggregated(df: DataFrame, keys: list[str], observer: str, classes: list[str], order: str, count: int, extra: list[str] = (), together: list[str] = ()) -> DataFrame:
+    """``aggregate_observers``: copies are counted, before they are shuffled, then groups judged; nothing is sorted.
+
+    Distinct rows are put together by ``together``, if given, for what follows.
+    """
+    first = [F.expr(f"min_by(struct(`{c}`, `{order}`), `{order}`) filter (where `{c}` is not null)").alias(f"__e_{c}") for c in extra]
+    rows = df.groupBy(*keys, observer, *classes).agg(F.count(F.lit(1)).alias("__copies"), *first)
+    rows = rows.repartition(*together) if together else rows
+    whole = F.col("__n") == count
+    null_key = F.expr(" or ".join(f"`{k}` is null" for k in keys))
+    once = (F.col("__least") >= 2) & (F.col("__uniq") == count)
+    sums = [x for c in classes for x in (F.sum(F.col(c) * F.col("__copies")).alias(f"__w_{c}"), F.sum(F.when(F.col(c).isNotNull(), F.col("__copies"))).alias(f"__m_{c}"), F.avg(c).alias(f"__a_{c}"))]
+    firsts = [F.expr(f"min_by(`__e_{c}`.`{c}`, `__e_{c}`.`{order}`)").alias(c) for c in extra]
+    groups = rows.groupBy(*keys).agg(F.sum("__copies").alias("__n"), F.min("__copies").alias("__least"), F.count(F.lit(1)).alias("__uniq"), *sums, *firsts, F.array_sort(F.collect_set(observer)).alias("physician_ids"))
+    kept = groups.where(whole | once | null_key)
+    # copies weigh where all rows count, and not where only one of each is kept
+    mean = lambda c: F.when(whole | null_key, F.col(f"__w_{c}") / F.col(f"__m_{c}")).otherwise(F.col(f"__a_{c}")).alias(c)
+    return kept.select(*keys, *map(mean, classes), *extra, "physician_ids")
+
+
 def aggregate_observers(df: DataFrame, keys: list[str], observer: str, classes: list[str], order: str, count: int = 2, extra: list[str] = (), on_mismatch: str = "drop") -> DataFrame:
-    """One row per group: mean of each class, the first non-null extra columns, the sorted distinct observers."""
+    """One row per group: mean of each class, the first non-null extra columns, the sorted distinct observers.
+
+    The groups kept are those of ``resolved_rows``.
+    """
     if on_mismatch == "error" and not mismatched_groups(df, keys, count).isEmpty():
         raise ValueError("groups of another size than expected")
-    kept = resolved_rows(df, keys, observer, classes, order, count)
-    first = [F.expr(f"min_by(`{c}`, `{order}`) filter (where `{c}` is not null)").alias(c) for c in extra]
-    return kept.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in classes), *first, F.array_sort(F.collect_set(observer)).alias("physician_ids"))
+    return _aggregated(df.select(*keys, observer, *classes, *{order, *extra}), keys, observer, classes, order, count, extra)
+
+
+def paired_labels(df: DataFrame, keys: list[str], condition: str, before: str, after: str, observer: str, classes: list[str], order: str, count: int = 2) -> DataFrame:
+    """``reference_labels`` of both conditions in one pass: distinct rows are shuffled by key once, for aggregation and pairing alike."""
+    rows = df.where(F.col(condition).isin(before, after)).dropna(subset=keys).select(condition, *keys, observer, *classes, order)
+    done = _aggregated(rows, [condition, *keys], observer, classes, order, count, together=keys)
+    side = lambda name: F.max(F.when(F.col(condition) == name, F.struct(*classes)))
+    wide = done.groupBy(*keys).agg(side(before).alias("a"), side(after).alias("b")).where("a is not null and b is not null")
+    cells = F.array(*(F.struct(F.lit(c).alias("category"), F.col("a")[c].alias("survey"), F.col("b")[c].alias("interview")) for c in classes))
+    return wide.select(*keys, F.inline(cells)).withColumn("delta", F.col("interview") - F.col("survey"))
 
 
 def merged_conditions(test: DataFrame, interview: DataFrame, keys: list[str], classes: list[str]) -> DataFrame:

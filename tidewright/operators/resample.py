@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 
 def cluster_sums(df: DataFrame, groups: list[str], cluster: str, value: Column) -> DataFrame:
-    """(groups, cluster, s, n): sum and count of the non-null values."""
-    return df.withColumn("__v", value).where("__v is not null").groupBy(*groups, F.col(cluster).alias("cluster")).agg(F.sum("__v").alias("s"), F.count("__v").alias("n"))
+    """(groups, cluster, s, n): sum and count of the non-null values. Kept, as resampling reads it several times."""
+    return df.withColumn("__v", value).where("__v is not null").groupBy(*groups, F.col(cluster).alias("cluster")).agg(F.sum("__v").alias("s"), F.count("__v").alias("n")).persist()
 
 
 def hash_number(*parts: Column | str) -> Column:
@@ -115,7 +115,7 @@ def bootstrap_poisson(sums: DataFrame, groups: list[str], resamples: int, seed:
         for key, (bs, bn, s, n, c) in held.items():
             yield pd.DataFrame({**dict(zip(groups, ([k] for k in key), strict=True)), "bs": [bs], "bn": [bn], "s": [s], "n": [n], "c": [c]})
 
-    parts = keyed.mapInPandas(partial, schema)
+    parts = keyed.mapInPandas(partial, schema).persist()
     totals = parts.groupBy(*groups).agg(F.sum("c").alias("n_clusters"), (F.sum("s") / F.sum("n")).alias("point"))
     reps = parts.select(*groups, F.posexplode(F.arrays_zip("bs", "bn")).alias("rep", "x")).groupBy(*groups, "rep").agg(F.sum("x.bs").alias("bs"), F.sum("x.bn").alias("bn")).where("bn > 0")
     ci = reps.groupBy(*groups).agg(F.percentile(F.col("bs") / F.col("bn"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
@@ -146,7 +146,7 @@ def sign_flip_sampled(sums: DataFrame, groups: list[str], permutations: int, see
         for key, (null, observed, size, n) in held.items():
             yield pd.DataFrame({**dict(zip(groups, ([k] for k in key), strict=True)), "null": [null], "observed": [observed], "size": [size], "n_clusters": [n]})
 
-    parts = keyed.select(*groups, "s", "__h").withColumnRenamed("__h", "h").mapInPandas(partial, schema)
+    parts = keyed.select(*groups, "s", "__h").withColumnRenamed("__h", "h").mapInPandas(partial, schema).persist()
     totals = parts.groupBy(*groups).agg(F.sum("observed").alias("observed"), F.sum("size").alias("size"), F.sum("n_clusters").alias("n_clusters"))
     nulls = parts.select(*groups, F.posexplode("null").alias("rep", "x")).groupBy(*groups, "rep").agg(F.sum("x").alias("x"))
     hits = nulls.join(totals, groups).groupBy(*groups).agg(F.count_if(F.col("x") >= F.col("observed") - 1e-12 * F.greatest(F.lit(1.0), F.col("size"))).alias("hits"))

@@ -59,11 +59,16 @@ def class_distribution(rows: DataFrame, classes: list[str]) -> DataFrame:
 
 
 def cooccurrence(rows: DataFrame, classes: list[str]) -> DataFrame:
-    """Rows in which two classes are both positive, for all pairs of classes, in one pass."""
-    pairs = [(a, b) for a in classes for b in classes]
-    sums = rows.agg(*(F.sum(binary(a) * binary(b)).alias(f"{a}|{b}") for a, b in pairs))
-    long = sums.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "n_both")
-    return long.select(F.split("pair", "[|]")[0].alias("class_a"), F.split("pair", "[|]")[1].alias("class_b"), F.coalesce("n_both", F.lit(0)).alias("n_both"))
+    """Rows in which two classes are both positive, for all pairs of classes.
+
+    Rows are counted per combination of labels first, and combinations then
+    taken apart into pairs.
+    """
+    held = F.array_compact(F.array(*(F.when(binary(c) == 1, F.lit(c)) for c in classes)))
+    combos = rows.groupBy(held.alias("held")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = combos.select(F.explode("held").alias("class_a"), "held", "n").select("class_a", F.explode("held").alias("class_b"), "n").groupBy("class_a", "class_b").agg(F.sum("n").alias("n_both"))
+    names = rows.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], "class_a string, class_b string")
+    return names.join(pairs, ["class_a", "class_b"], "left").na.fill(0, ["n_both"])
 
 
 def text_length(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ def consensus(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, sf: str) -> DataFrame:
-    labels = R.reference_labels(consensus(spark, sf, "test"), consensus(spark, sf, "interview"), KEYS, CLASSES)
+    labels = R.paired_labels(study_ratings(spark, sf), KEYS, "sheet", "test", "interview", "physician", CLASSES, "row_id")
     return labels.withColumnsRenamed({"patient": "patient_id", "item": "item_text"})
 
 
