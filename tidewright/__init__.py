@@ -1 +1 @@
-"""Paired-context rating analytics on Spark DataFrames."""
+"""Paired rating analytics on Spark DataFrames."""
