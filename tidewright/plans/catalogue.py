@@ -20,6 +20,18 @@ PLACES = 6
 NUDGE = 1e-10
 
 
+def bigint_counts(sql: str) -> str:
+    """count_if as a count, which DuckDB gives as a bigint like Spark."""
+    while (at := sql.find("count_if(")) >= 0:
+        start = at + len("count_if(")
+        end, depth = start, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(case when {sql[start : end - 1]} then 1 end){sql[end:]}"
+    return sql
+
+
 def entry(sql: str | None = None, doubles: str = "", name: str | None = None) -> Callable[[Query], Query]:
     names = doubles.split()
 
@@ -32,7 +44,8 @@ def entry(sql: str | None = None, doubles: str = "", name: str | None = None) ->
 
         QUERIES[key] = run
         if sql is not None:
-            SQL[key] = f"select * replace ({', '.join(f'round({c} + {NUDGE:.10f}, {PLACES}) + 0.0 as {c}' for c in names)}) from (\n{sql}\n)" if names else sql
+            text = bigint_counts(sql)
+            SQL[key] = f"select * replace ({', '.join(f'round(cast({c} as double) + {NUDGE:.10f}, {PLACES}) + 0.0 as {c}' for c in names)}) from (\n{text}\n)" if names else text
         return f
 
     return register

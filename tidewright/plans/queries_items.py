@@ -250,7 +250,7 @@ def m5_field_ablation(spark, sf):
     return done.select("summary_id", "field", "summary", F.when(F.col("labs").isNotNull(), F.size("labs")).cast("bigint").alias("n_labs"), F.when(F.col("allergies").isNotNull(), F.size("allergies")).cast("bigint").alias("n_allergies"))
 
 
-@entry("select label, list_transform(range(64), lambda i: 0.0) as zero, count(*) as n from embeddings group by label")
+@entry("select label, list_transform(range(64), lambda i: cast(0.0 as double)) as zero, count(*) as n from embeddings group by label")
 def m2_pooling_groups(spark, sf):
     e = table(spark, sf, "embeddings")
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("zero", F.array_repeat(F.lit(0.0), 64)).select("label", "zero", "n")
