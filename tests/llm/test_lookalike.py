@@ -45,3 +45,9 @@ def test_forms_empty_and_long(spark):
     got = {r.doc_id: r.text_form for r in L.one_form(docs(spark, [long, None, "", ALIKE[1]])).collect()}
     assert got == {0: "o" * 300_000, 1: None, 2: "", 3: PLAIN}
     assert L.alike_pairs(docs(spark, [])).count() == 0 and L.alike_classes(docs(spark, [])).count() == 0
+
+
+def test_a_text_with_very_many_copies(spark):
+    texts = [PLAIN] * 3000 + [ALIKE[0]] + [f"other {i}" for i in range(2000)] + [f"оther {i}" for i in range(3)]
+    got = {(r.doc_id_a, r.doc_id_b) for r in L.alike_pairs(docs(spark, texts)).collect()}
+    assert got == {(i, 3000) for i in range(3000)} | {(3001 + i, 5001 + i) for i in range(3)}

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.session import spread
+from tidewright.plans.skew import HOT_SHARE, salted_lookup
+from tidewright.session import cut, spread
 
 #: Look-alike letters and signs, each with the prototype that it is replaced by.
 LOOKALIKES = {
@@ -111,12 +112,10 @@ def alike_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies is one record.
     """
     keys = keyed(docs, id_col, text_col).persist()
-    several = (
-        keys.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("look").agg(F.count(F.lit(1)).alias("n_forms"))
-        .where("n_forms > 1").select("look")
-    )
-    return keys.join(several, "look", "left_semi")
+    forms = keys.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"))
+    several = cut(forms.groupBy("look").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n").alias("n_texts")).where("n_forms > 1").select("look", "n_texts"))
+    hot = several.where(F.col("n_texts") >= max(1000, -(-keys.count() // HOT_SHARE)))
+    return salted_lookup(keys, several.select("look"), "look", F.col("id"), "inner", hot=hot)
 
 
 def alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,8 +131,6 @@ def alike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = keyed(docs, id_col, text_col).persist()
     forms = keys.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     looks = forms.groupBy("look").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("n_forms"), F.sum("n").alias("n_texts"))
-    from tidewright.plans.skew import salted_lookup
-
     return salted_lookup(keys, looks, "look", F.col("id")).select(F.col("id").alias(id_col), "class_id", "n_forms", "n_texts")
 
 
