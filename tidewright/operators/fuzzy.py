@@ -57,7 +57,7 @@ def stop_tokens(items: DataFrame, share: float = TOKEN_SHARE) -> DataFrame:
     """Words of more than max(2, share of all items) items."""
     total = items.agg(F.count(F.lit(1)).alias("__n"))
     counts = items.select("id", F.explode(F.array_distinct(words(F.col("norm")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("df") > F.greatest(F.lit(2), F.ceil(share * F.col("__n")))).select("token", "df")  # one row
+    return counts.where(F.col("df") > F.greatest(F.lit(2), F.ceil(share * total.scalar()))).select("token", "df")
 
 
 def block_keys(items: DataFrame) -> DataFrame:

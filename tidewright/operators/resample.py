@@ -33,11 +33,9 @@ def bootstrap_means(sums: DataFrame, groups: list[str], resamples: int, seed: in
     of (seed, r, j) modulo the number of clusters. Fewer than two clusters give
     a point without interval.
     """
-    spark = sums.sparkSession
     ranked = sums.withColumn("__k", F.row_number().over(W.partitionBy(*groups).orderBy("cluster")) - 1).withColumn("__c", F.count(F.lit(1)).over(W.partitionBy(*groups)))
     counts = ranked.groupBy(*groups).agg(F.first("__c").alias("__c"), (F.sum("s") / F.sum("n")).alias("point"))
-    reps = spark.range(resamples).select(F.col("id").alias("__r"))
-    draws = counts.where("__c > 1").crossJoin(F.broadcast(reps)).withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__c") - 1)))  # one row per draw
+    draws = counts.where("__c > 1").withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__c") - 1)))  # one row per draw
     draws = draws.withColumn("__k", F.pmod(hash_number(F.lit(str(seed)), F.col("__r").cast("string"), F.col("__j").cast("string")), F.col("__c")).cast("int"))
     means = draws.select(*groups, "__r", "__k").join(ranked.select(*groups, "__k", "s", "n"), [*groups, "__k"]).groupBy(*groups, "__r").agg((F.sum("s") / F.sum("n")).alias("m"))
     ci = means.groupBy(*groups).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
@@ -162,14 +160,12 @@ def within_cluster_permutation(df: DataFrame, groups: list[str], cluster: str, r
     rows of a cluster by the hash of (seed, permutation, row): the k-th row by
     that order gives its right sign to the k-th row of the cluster.
     """
-    spark = df.sparkSession
     rows = df.select(*groups, F.col(cluster).alias("c"), F.col(row).alias("row"), left.alias("l"), right.alias("r"))
     own = rows.withColumn("k", F.row_number().over(W.partitionBy(*groups, "c").orderBy("row")))
     observed = own.where("l <> 0").groupBy(*groups).agg(F.avg((F.col("l") == F.col("r")).cast("double")).alias("observed"))
-    reps = F.broadcast(spark.range(permutations).select(F.col("id").alias("rep")))
     order = hash_number(F.lit(str(seed)), F.col("rep").cast("string"), F.col("row").cast("string"))
     # rows x permutations, each row once a permutation
-    mixed = own.select(*groups, "c", "row", "r").crossJoin(reps).withColumn("k", F.row_number().over(W.partitionBy(*groups, "c", "rep").orderBy(order, "row"))).drop("row")
+    mixed = own.select(*groups, "c", "row", "r").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("k", F.row_number().over(W.partitionBy(*groups, "c", "rep").orderBy(order, "row"))).drop("row")
     null = own.where("l <> 0").select(*groups, "c", "k", "l").join(mixed, [*groups, "c", "k"]).groupBy(*groups, "rep").agg(F.avg((F.col("l") == F.col("r")).cast("double")).alias("x"))
     hits = null.join(observed, groups).groupBy(*groups).agg(F.first("observed").alias("observed"), F.avg("x").alias("null_mean"), F.count_if(F.col("x") >= F.col("observed") - 1e-12).alias("hits"))
     p = (1 + F.col("hits")) / (permutations + 1) if plus_one else F.col("hits") / permutations

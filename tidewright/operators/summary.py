@@ -48,7 +48,7 @@ def entity_distribution(rows: DataFrame, entity: str = "patient") -> DataFrame:
     """Rows per entity, nulls included, and their percentage."""
     counts = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("n_rows"))
     total = rows.agg(F.count(F.lit(1)).alias("__n"))
-    return counts.crossJoin(F.broadcast(total)).select(entity, "n_rows", share(F.col("n_rows"), F.col("__n")).alias("pct"))  # one row
+    return counts.select(entity, "n_rows", share(F.col("n_rows"), total.scalar()).alias("pct"))
 
 
 def class_distribution(rows: DataFrame, classes: list[str]) -> DataFrame:
@@ -84,7 +84,7 @@ def text_length_bins(rows: DataFrame, text: str = "text", bins: int = 20) -> Dat
     ends = words.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     step = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("lo")) / step - 1e-9) - 1))
-    return words.crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n_texts"))  # one row
+    return words.withColumns({"lo": ends.select("lo").scalar(), "hi": ends.select("hi").scalar()}).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n_texts"))
 
 
 def entity_class_counts(rows: DataFrame, classes: list[str], entity: str = "patient") -> DataFrame:
@@ -141,7 +141,7 @@ def item_frequency(rows: DataFrame, item: str = "item") -> DataFrame:
     items = rows.select(trimmed(F.col(item)).alias("item"))
     counts = items.where("item is not null").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     total = items.agg(F.count(F.lit(1)).alias("__n"))
-    return counts.crossJoin(F.broadcast(total)).select("item", "n", share(F.col("n"), F.col("__n")).alias("pct"))  # one row
+    return counts.select("item", "n", share(F.col("n"), total.scalar()).alias("pct"))
 
 
 def standardisation_impact(rows: DataFrame, raw: str, standard: str, stage: str = "sheet") -> DataFrame:

@@ -24,7 +24,7 @@ def running_sums(df: DataFrame, groups: list[str], order: str, values: list[str]
     if groups:
         ended = df.join(ends, null_safe(df, ends)).drop(*(f"__{g}" for g in groups))
     else:
-        ended = df.crossJoin(F.broadcast(ends))  # one row
+        ended = df.withColumns({c: ends.select(c).scalar() for c in ("__lo", "__hi")})
     width = F.col("__hi") - F.col("__lo")
     at = F.when(width > 0, F.floor((F.col(order) - F.col("__lo")) / width * buckets)).otherwise(F.lit(0)).cast("bigint")
     placed = ended.withColumn("__b", sign * at).drop("__lo", "__hi")
