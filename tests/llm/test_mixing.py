@@ -73,3 +73,17 @@ def test_empty_tables(spark):
     mixed, report = mix(spark, [], [("a", 1.0, 1)])
     assert mixed.count() == 0 and report["a"].actual_share == 0
     assert mix(spark, corpus()[:5], [])[0].count() == 0
+
+
+def test_registered_query_mixes_documents_without_source(spark, tmp_path):
+    from tidewright.llm import queries
+
+    d, t = frames(spark, corpus(), [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 4)])
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    t.write.parquet(str(tmp_path / "mix_targets.parquet"))
+    rows = queries.p8_mixture(spark, str(tmp_path)).collect()
+    report = {r.source: r for r in queries.p8_report(spark, str(tmp_path)).collect()}
+    assert sum(r.source is None for r in rows) == 10
+    for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+        assert report[s].actual_share == pytest.approx(share, abs=0.02)
+    assert report["c"].own_share < report["c"].actual_share

@@ -17,7 +17,10 @@ added up beforehand.
 The total is the largest at which no source with documents needs more repeats
 than it may have, so the shares are met as nearly as the repeats allow; a
 source without documents is left out and the others share its part. A larger
-``total`` can be asked for; sources that can't keep up then fall short.
+``total`` can be asked for; sources that can't keep up then fall short. With
+``count_soft`` the expected tokens of documents without source count in the
+total, and their rates move at the pace of all others; without it they only
+fill what known sources can't give.
 
 Rates become whole copies: of each known source the documents of smallest hash
 get the copy more that the rate asks for, as many as come nearest in tokens.
@@ -44,7 +47,7 @@ from tidewright.session import cut, spread
 SAMPLE = 50_000
 FEATURES = 1 << 14
 STEPS = 60
-#: Pace at which the rates of documents without source grow: those of known source are used first.
+#: Pace at which the rates of documents without source grow unless they count: those of known source are used first.
 SOFT_PACE = 0.0001
 TOLERANCE = 1e-7
 BINS = 4096
@@ -139,7 +142,7 @@ def fit_rates(cells: DataFrame, goals: list[float]) -> list[list[float]]:
     return history[:kept]
 
 
-def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str, pattern: str, total: float | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", kind_col: str = "doc_kind") -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str, pattern: str, total: float | None = None, sample: int = SAMPLE, count_soft: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", kind_col: str = "doc_kind") -> DataFrame:
     """(doc_id, source, n_tokens, rate, n_copies, membership): the documents of the mixture, with at least one copy each.
 
     source is null for a document without source; membership is in the order of
@@ -160,10 +163,10 @@ def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str, pattern: str,
     known = texts.where(F.col("name").isin(sources)).withColumn("membership", one_hot).select(*slim)
     soft = F.col("name").isNull()
     parts = known.unionByName(posteriors(texts, sources, sample).select(*slim)).withColumn("cap", F.when(soft, F.least(F.lit(1.0), cap)).otherwise(cap))
-    parts = cut(parts.withColumn("pace", F.when(soft, F.lit(SOFT_PACE)).otherwise(F.lit(1.0))))
+    parts = cut(parts.withColumn("pace", F.when(soft, F.lit(1.0 if count_soft else SOFT_PACE)).otherwise(F.lit(1.0))))
     cells = cut(parts.groupBy("membership", "cap", "pace").agg(F.sum("n_tokens").cast("double").alias("tokens")))
 
-    able = _totals(cells.where("pace = 1"), F.col("cap"), len(sources))
+    able = _totals(cells if count_soft else cells.where("pace = 1"), F.col("cap"), len(sources))
     here = [s if a > 0 else 0.0 for s, a in zip(shares, able, strict=True)]
     whole = sum(here) or 1.0
     largest = min((a / (s / whole) for s, a in zip(here, able, strict=True) if s > 0), default=0.0)

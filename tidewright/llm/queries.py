@@ -114,7 +114,7 @@ def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
-    return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), str(public_tokenizers.path(TOKENIZER)), public_tokenizers.PATTERN)
+    return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), str(public_tokenizers.path(TOKENIZER)), public_tokenizers.PATTERN, count_soft=True)
 
 
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
