@@ -126,3 +126,20 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b" / "r.md").write_text("x")
     assert T.write_bundle(str(tmp_path / "b"), str(tmp_path / "b.zip")) == ["r.md"]
     assert len(T.run_manifest({"a": 1}, [str(tmp_path / "b")])["inputs"]) == 1
+
+
+def test_routing_reads_every_class(spark, tmp_path):
+    from tidewright.plans import catalogue
+
+    classes = T.CLASSES
+    row = lambda i, **odd: (i, "context_free", *(odd.get(c, 0.5) for c in classes))
+    rows = [row(1), *(row(100 + k, **{c: v}) for k, (c, v) in enumerate((c, v) for c in classes for v in (1.5, None, float("nan")))), row(11), row(26)]
+    wanted = {1: None, 11: "LLMCallFailed", 26: "MissingKeyError"}
+    schema = "score_id bigint, score_condition string, " + ", ".join(f"{c} double" for c in classes)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "scores.parquet"))
+    got = {r.score_id: r.error_type for r in catalogue.queries()["j4_error_routing_all"](spark, str(tmp_path)).collect()}
+    for i in (r[0] for r in rows):
+        error = "LLMCallFailed" if i % 11 == 0 else "MissingKeyError" if i % 13 == 0 else "RangeError"
+        assert got[i] == wanted.get(i, error)
+    values = {r.score_id: r for r in catalogue.queries()["j1_json_scores_all"](spark, str(tmp_path)).collect()}
+    assert [values[1][c] for c in classes] == [0.5] * 10 and values[26].parse_error == "MissingKeyError"

@@ -127,6 +127,28 @@ def j4_error_routing(spark, sf):
     return Q.route_errors(done, "error", "parse_error", "score_condition").select("score_id", "error_type")
 
 
+def _whole_responses(spark, sf):
+    """Scores of all classes as raw answers; one in eleven calls failed, one in thirteen answers lacks its last key."""
+    s = table(spark, sf, "scores")
+    part = lambda c: F.concat(F.lit(f'"{c}": '), F.coalesce(F.when(F.isnan(c), "NaN").otherwise(F.col(c).cast("string")), F.lit("null")))
+    answer = lambda names: F.concat(F.lit("{"), F.concat_ws(", ", *map(part, names)), F.lit("}"))
+    return s.select("score_id", "score_condition", F.when(F.col("score_id") % 13 == 0, answer(CLASSES[:-1])).otherwise(answer(CLASSES)).alias("raw_text"), F.when(F.col("score_id") % 11 == 0, "timeout").alias("error"))
+
+
+@entry(f"select score_id, {', '.join(CLASSES[:-1])}, case when score_id % 13 = 0 then null else {CLASSES[-1]} end as {CLASSES[-1]}, case when score_id % 13 = 0 then 'MissingKeyError' end as parse_error from scores", " ".join(CLASSES))
+def j1_json_scores_all(spark, sf):
+    return Q.json_scores(_whole_responses(spark, sf), "raw_text", CLASSES).select("score_id", *CLASSES, "parse_error")
+
+
+_OUT = " or ".join(f"{c} is null or isnan({c}) or {c} < 0 or {c} > 1" for c in CLASSES)
+
+
+@entry(f"select score_id, case when score_id % 11 = 0 then 'LLMCallFailed' when score_id % 13 = 0 then 'MissingKeyError' when {_OUT} then 'RangeError' end as error_type from scores")
+def j4_error_routing_all(spark, sf):
+    done = Q.parsed(_whole_responses(spark, sf), "raw_text", CLASSES)
+    return Q.route_errors(done, "error", "parse_error", "score_condition").select("score_id", "error_type")
+
+
 _KEYC = "model, patient_id, item_text, score_condition"
 _CACHE = f"{_RESP}, cache as (select * from (select *, row_number() over (partition by {_KEYC} order by score_id desc) as rn from resp where score_id % 5 <> 0) where rn = 1)"
 
