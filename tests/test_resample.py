@@ -85,3 +85,30 @@ def test_permutation_within_clusters(spark):
 def test_correlation_permutation():
     x = np.arange(6.0)
     assert S.correlation_permutation(x, x, 500, 1) < 0.02 < 0.9 < S.correlation_permutation(x, -x, 500, 1)
+
+
+def test_permutation_by_counts_against_brute_force(spark):
+    clusters = {"a": [(1, 1), (1, -1), (-1, -1), (0, 0)], "b": [(1, 1), (-1, 0), (0, 1)]}
+    rows = [("g", c, f"r{i}", float(x), float(y)) for c, v in clusters.items() for i, (x, y) in enumerate(v)]
+    df = spark.createDataFrame(rows, "g string, c string, row string, l double, r double")
+    agree = lambda v, p: sum(x != 0 and x == y for (x, _), y in zip(v, p, strict=True))
+    nulls = [agree(clusters["a"], p) + agree(clusters["b"], q) for p in itertools.permutations([y for _, y in clusters["a"]]) for q in itertools.permutations([y for _, y in clusters["b"]])]
+    got = S.within_cluster_permutation_counts(df, ["g"], "c", F.col("l"), F.col("r"), 10_000, 7).first()
+    assert got.observed == pytest.approx(3 / 5) and got.null_mean == pytest.approx(np.mean(nulls) / 5, abs=0.01)
+    assert got.p == pytest.approx(np.mean([n >= 3 for n in nulls]), abs=0.02)
+    sure = spark.createDataFrame([("g", f"c{i % 10}", "r", s, s) for i, s in enumerate([1.0, 1.0, -1.0] * 40)], df.schema)
+    assert S.within_cluster_permutation_counts(sure, ["g"], "c", F.col("l"), F.col("r"), 10_000, 7).first().p == 1 / 10_001
+
+
+def test_registered_sizes_are_those_of_the_reference(spark, monkeypatch):
+    from tidewright.plans import queries_cells as Q
+
+    monkeypatch.setattr(Q, "cells", lambda *_: spark.createDataFrame([], "model string, category string, patient string, item_text string, delta_physician double, delta_llm_correct double, delta_llm_shuffled double, alignment_difference double"))
+    seen = []
+    monkeypatch.setattr(Q.S, "bootstrap_metric", lambda *a: seen.append(a[4]))
+    monkeypatch.setattr(Q.S, "within_cluster_permutation_counts", lambda *a: seen.append(a[5]))
+    monkeypatch.setattr(Q.S, "bootstrap_means", lambda *a: seen.append(a[2]))
+    Q.b1_bootstrap_metric(spark, "")
+    Q.r2_within_cluster_permutation_10000(spark, "")
+    Q.b1_bootstrap_hash_draws_1000(spark, "")
+    assert seen == [1000, 10_000, 1000]

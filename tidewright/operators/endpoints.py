@@ -106,7 +106,7 @@ def interpretation_flag(sensitivity: Column, low: Column, difference: Column, ep
     )
 
 
-def endpoint_summary(cells: DataFrame, failed: DataFrame, resamples: int = 200, seed: int = 42, epsilon: float = EPSILON) -> DataFrame:
+def endpoint_summary(cells: DataFrame, failed: DataFrame, resamples: int = 1000, seed: int = 42, epsilon: float = EPSILON) -> DataFrame:
     """One row per model: counts, aggregate endpoints, the share of failed rows and the flag."""
     total = lambda df: df.where(F.col("category") == AGGREGATE)
     h1 = total(context_sensitivity(cells, epsilon)).select("model", "n_patients", "n_patient_items", "n_cells", "mean_abs_delta_correct", "mean_abs_delta_difference", "proportion_changed_correct")

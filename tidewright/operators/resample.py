@@ -61,12 +61,13 @@ def bootstrap_metric(df: DataFrame, groups: list[str], cluster: str, metric: Cal
     columns = df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [p[columns] for _, p in pdf.sort_values(cluster, kind="stable").groupby(cluster, sort=True)]
+        pdf = pdf.sort_values(cluster, kind="stable").reset_index(drop=True)
+        parts = [at for at in pdf.groupby(cluster, sort=True).indices.values()]
         point = float(metric(pdf))
         low = high = float("nan")
         if len(parts) > 1:
             rng = np.random.default_rng(seed)
-            got = [metric(pd.concat([parts[k] for k in rng.integers(0, len(parts), len(parts))])) for _ in range(resamples)]
+            got = [metric(pdf[columns].take(np.concatenate([parts[k] for k in rng.integers(0, len(parts), len(parts))]))) for _ in range(resamples)]
             low, high = np.nanpercentile(got, [2.5, 97.5])
         return pdf[groups].iloc[:1].assign(point=point, low=low, high=high)
 
@@ -172,6 +173,45 @@ def within_cluster_permutation(df: DataFrame, groups: list[str], cluster: str, r
     return hits.select(*groups, "observed", "null_mean", p.alias("p"))
 
 
+def within_cluster_permutation_counts(df: DataFrame, groups: list[str], cluster: str, left: Column, right: Column, permutations: int, seed: int) -> DataFrame:
+    """(groups, observed, null_mean, p) of the statistic of within_cluster_permutation, for many permutations.
+
+    Agreement depends only on how many right signs of each kind fall to the rows
+    of each left sign, which is hypergeometric within a cluster. So a cluster is
+    one row of counts whose permutations are drawn as counts by a generator
+    seeded by its hash; one array a task and group is shuffled.
+    """
+    kinds = dict(df.dtypes)
+    signs = df.select(*groups, F.col(cluster).cast("string").alias("c"), left.alias("l"), right.alias("r"))
+    number = lambda cond, name: F.count(F.when(cond, 1)).alias(name)
+    counts = signs.groupBy(*groups, "c").agg(
+        number(F.col("l") > 0, "up"), number(F.col("l") < 0, "down"), number(F.col("r") > 0, "rup"), number(F.col("r") < 0, "rdown"),
+        F.count(F.lit(1)).alias("n"), number((F.col("l") != 0) & (F.col("l") == F.col("r")), "same"),
+    )
+    keyed = counts.where("up + down > 0").withColumn("h", F.xxhash64(F.lit(seed), "c")).drop("c")
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "null array<bigint>", "same bigint", "moved bigint"])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                rng = np.random.default_rng(row.h & 0xFFFFFFFFFFFFFFFF)
+                acc = held.setdefault(tuple(getattr(row, g) for g in groups), [np.zeros(permutations, np.int64), 0, 0])
+                # right signs that fall to the rows of left sign 1, then those of the rest that fall to left sign -1
+                ups = rng.hypergeometric(row.rup, row.n - row.rup, row.up, permutations)
+                downs = rng.hypergeometric(row.rdown, row.n - row.rup - row.rdown, row.up - ups)
+                acc[0] += ups + rng.hypergeometric(row.rdown - downs, row.n - row.up - (row.rdown - downs), row.down)
+                acc[1], acc[2] = acc[1] + row.same, acc[2] + row.up + row.down
+        for key, (null, same, moved) in held.items():
+            yield pd.DataFrame({**dict(zip(groups, ([k] for k in key), strict=True)), "null": [null], "same": [same], "moved": [moved]})
+
+    parts = keyed.mapInPandas(partial, schema).persist()
+    totals = parts.groupBy(*groups).agg(F.sum("same").alias("same"), F.sum("moved").alias("moved"))
+    nulls = parts.select(*groups, F.posexplode("null").alias("rep", "x")).groupBy(*groups, "rep").agg(F.sum("x").alias("x"))
+    hits = nulls.join(totals, groups).groupBy(*groups).agg(F.first("same").alias("same"), F.first("moved").alias("moved"), F.avg("x").alias("x"), F.count_if(F.col("x") >= F.col("same")).alias("hits"))
+    return hits.select(*groups, (F.col("same") / F.col("moved")).alias("observed"), (F.col("x") / F.col("moved")).alias("null_mean"), ((1 + F.col("hits")) / (permutations + 1)).alias("p"))
+
+
 def correlation_permutation(x: np.ndarray, y: np.ndarray, permutations: int, seed: int, ranks: bool = False) -> float:
     """The share of permutations of y whose correlation with x reaches the observed one; for a few points (categories)."""
     if ranks:

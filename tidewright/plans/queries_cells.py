@@ -11,7 +11,7 @@ from tidewright.operators import endpoints as E
 from tidewright.operators import reference as R
 from tidewright.operators import resample as S
 from tidewright.operators import validate as V
-from tidewright.plans.catalogue import entry
+from tidewright.plans.catalogue import SQL, entry
 from tidewright.plans.views import KEYS, cells, consensus, pivoted, preds, reference, sheet, sql
 from tidewright.sources.tables import CLASSES, study_ratings, table
 
@@ -162,6 +162,12 @@ def b1_bootstrap_hash_draws(spark, sf):
     return S.bootstrap_means(sums, ["model"], 200, 42)
 
 
+@entry(sql(_B1.replace(_boot(200, 42), _boot(1000, 42)), "cells"), "point low high")
+def b1_bootstrap_hash_draws_1000(spark, sf):
+    sums = S.cluster_sums(cells(spark, sf), ["model"], "patient", F.abs("delta_llm_correct") - F.abs("delta_llm_shuffled"))
+    return S.bootstrap_means(sums, ["model"], 1000, 42)
+
+
 @entry()
 def b1_bootstrap_poisson(spark, sf):
     sums = S.cluster_sums(cells(spark, sf), ["model"], "patient", F.abs("delta_llm_correct") - F.abs("delta_llm_shuffled"))
@@ -172,7 +178,7 @@ def b1_bootstrap_poisson(spark, sf):
 def b1_bootstrap_metric(spark, sf):
     """Median shift with an interval, by the general bootstrap of a metric."""
     rows = cells(spark, sf).select("model", "category", "patient", "delta_llm_correct").dropna()
-    return S.bootstrap_metric(rows, ["model", "category"], "patient", lambda pdf: pdf["delta_llm_correct"].median(), 100, 42)
+    return S.bootstrap_metric(rows, ["model", "category"], "patient", lambda pdf: pdf["delta_llm_correct"].median(), 1000, 42)
 
 
 _R1 = f""", sums_ as ({_sums('abs(delta_llm_correct) - abs(delta_llm_shuffled)', 'true', cluster='cast(patient as bigint) % 10')}),
@@ -210,6 +216,13 @@ def r2_within_cluster_permutation(spark, sf):
     return S.within_cluster_permutation(rows, ["model"], "patient", "row", F.signum("delta_physician"), moved, 20, 7)
 
 
+@entry()
+def r2_within_cluster_permutation_10000(spark, sf):
+    rows = cells(spark, sf).where("delta_physician is not null and delta_llm_correct is not null")
+    moved = F.signum(F.when(F.abs("delta_llm_correct") < 0.01, 0.0).otherwise(F.col("delta_llm_correct")))
+    return S.within_cluster_permutation_counts(rows, ["model"], "patient", F.signum("delta_physician"), moved, 10_000, 7)
+
+
 @entry()
 def r3_class_permutation(spark, sf):
     """Permutation p of the class correlation; ten categories a model reach the driver."""
@@ -219,12 +232,12 @@ def r3_class_permutation(spark, sf):
     points: dict[str, list] = {}
     for model, x, y in means.orderBy("model", "mean_delta_physician", "mean_delta_llm_correct").collect():
         points.setdefault(model, []).append((x, y))
-    rows = [(m, S.correlation_permutation(*np.array(v).T, 2000, 42), S.correlation_permutation(*np.array(v).T, 2000, 43, True)) for m, v in points.items() if len(v) > 2]
+    rows = [(m, S.correlation_permutation(*np.array(v).T, 10_000, 42), S.correlation_permutation(*np.array(v).T, 10_000, 43, True)) for m, v in points.items() if len(v) > 2]
     return spark.createDataFrame(rows, "model string, p_pearson double, p_spearman double")
 
 
 for _endpoint in E.RESAMPLED:
-    entry(name=f"e_intervals_{_endpoint}")(lambda spark, sf, e=_endpoint: E.endpoint_intervals(cells(spark, sf), e, 200, 1000))
+    entry(name=f"e_intervals_{_endpoint}")(lambda spark, sf, e=_endpoint: E.endpoint_intervals(cells(spark, sf), e))
 
 _FAILED = f"""bad as ({' union all '.join(f"select model, patient_id, item_text, score_condition as condition, 'check3: {c}' as reason from scores where {c} is null or isnan({c}) or {c} < 0 or {c} > 1" for c in CLASSES)}),
 k4 as (select model, patient_id, item_text from scores group by all having count(distinct score_condition) < 3),
@@ -279,9 +292,9 @@ select *, n_failed / greatest(n_cells + n_failed, 1) as failure_rate, {_FLAG} as
 _A23D = "mean_abs_delta_correct mean_abs_delta_difference proportion_changed_correct alignment sign_agreement_correct pearson_correct spearman_correct mean_alignment_difference specificity_low specificity_high failure_rate"
 
 
-def _summary(spark, sf):
+def _summary(spark, sf, resamples=200):
     found = cells(spark, sf)
-    return E.endpoint_summary(found, V.failed_rows(table(spark, sf, "scores"), reference(spark, sf), CLASSES))
+    return E.endpoint_summary(found, V.failed_rows(table(spark, sf, "scores"), reference(spark, sf), CLASSES), resamples)
 
 
 @entry(sql(_A23, "both"), _A23D)
@@ -289,6 +302,11 @@ def a23_hypothesis_summary(spark, sf):
     return _summary(spark, sf)
 
 
+@entry(sql(_A23.replace(_boot(200, 42), _boot(1000, 42)), "both"), _A23D)
+def a23_hypothesis_summary_1000(spark, sf):
+    return _summary(spark, sf, 1000)
+
+
 _COMPLETE = "llm_context_free is not null and llm_correct_context is not null and llm_shuffled_context is not null"
 
 
@@ -296,7 +314,14 @@ _COMPLETE = "llm_context_free is not null and llm_correct_context is not null an
 def a24_flags_complete_cells(spark, sf):
     whole = cells(spark, sf).where(_COMPLETE)
     none = spark.createDataFrame([], "model string")
-    return E.endpoint_summary(whole, none).select("model", "flag")
+    return E.endpoint_summary(whole, none, 200).select("model", "flag")
+
+
+@entry(SQL["a24_flags_complete_cells"].replace(_boot(200, 42), _boot(1000, 42)))
+def a24_flags_complete_cells_1000(spark, sf):
+    whole = cells(spark, sf).where(_COMPLETE)
+    none = spark.createDataFrame([], "model string")
+    return E.endpoint_summary(whole, none, 1000).select("model", "flag")
 
 
 @entry(sql(f", h4 as (select model, avg(alignment_difference) as mean_alignment_difference from cells where delta_physician <> 0 and {_COMPLETE} group by model) select model, mean_alignment_difference, row_number() over (order by mean_alignment_difference desc nulls last, model) as rank from h4", "cells"), "mean_alignment_difference")
