@@ -119,3 +119,15 @@ def test_wasserstein(spark):
     df = spark.createDataFrame([("g", 0.1, 0.5), ("g", 0.9, 0.0), ("g", 0.4, 1.0), ("g", None, 1.0)], "g string, l double, r double")
     want = sum(abs(a - b) for a, b in zip(sorted([0.1, 0.9, 0.4]), sorted([0.5, 0.0, 1.0]))) / 3
     assert G.wasserstein(df, ["g"], "l", "r").first().w1 == pytest.approx(want)
+
+
+def test_isotonic_query_calibrates_every_class(spark, monkeypatch):
+    from tidewright.plans import queries_metrics as Q
+    from tidewright.sources.tables import CLASSES
+
+    rows = [("m", c, "1", f"i{k}", (k + j) % 2 * 1.0, 0.5) for j, c in enumerate(CLASSES) for k in range(3 + j % 2)]
+    preds = spark.createDataFrame(rows, "model string, category string, patient string, item_text string, y double, p double")
+    monkeypatch.setattr(Q, "preds", lambda *_: preds)
+    got = {(r.category, r.item_text): r.calibrated for r in Q.ml_isotonic(spark, "").collect()}
+    assert len(got) == len(rows) and {c for c, _ in got} == set(CLASSES)
+    assert got[CLASSES[0], "i0"] == pytest.approx(1 / 3) and got[CLASSES[1], "i0"] == pytest.approx(1 / 2)

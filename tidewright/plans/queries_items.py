@@ -205,6 +205,14 @@ def t16_prompt_render(spark, sf):
     return table(spark, sf, "scores").select("item_text").distinct().withColumn("prompt", X.prompt(F.col("item_text"), _SHORT))
 
 
+_SKEL_ALL = "{" + ", ".join(f'"{c}": 0.0' for c in CLASSES) + "}"
+
+
+@entry("select distinct item_text, 'Score the item below for ten classes, each from 0 to 1.' || chr(10) || chr(10) || '" + "' || chr(10) || '".join(f"- {c}" for c in CLASSES) + "' || chr(10) || chr(10) || 'Item: ' || item_text || chr(10) || chr(10) || 'Answer with this JSON only: " + _SKEL_ALL + "' as prompt from scores")
+def t16_prompt_render_all(spark, sf):
+    return table(spark, sf, "scores").select("item_text").distinct().withColumn("prompt", X.prompt(F.col("item_text"), CLASSES))
+
+
 _LISTS = ["medical_history", "allergies", "labs"]
 _BLOCK = " || ".join(f"case when len({c}) > 0 then '[{c.upper()}]' || chr(10) || array_to_string(list_transform({c}, lambda x: '- ' || x), chr(10)) || chr(10) || chr(10) else '' end" for c in _LISTS)
 
@@ -272,6 +280,15 @@ def m5_field_ablation(spark, sf):
     return done.select("summary_id", "field", "summary", F.when(F.col("labs").isNotNull(), F.size("labs")).cast("bigint").alias("n_labs"), F.when(F.col("allergies").isNotNull(), F.size("allergies")).cast("bigint").alias("n_allergies"))
 
 
+_SHOWN = {c: "summary" if c == "summary" else f"len({c})" for c in CONTEXT_FIELDS}
+
+
+@entry(" union all ".join(f"select summary_id, '{f}' as field, " + ", ".join(("null" if c == f else v) + f" as {c}" for c, v in _SHOWN.items()) + " from patient_summaries" for f in CONTEXT_FIELDS))
+def m5_field_ablation_all(spark, sf):
+    done = H.ablated_contexts(table(spark, sf, "patient_summaries"), "summary_id", CONTEXT_FIELDS)
+    return done.select("summary_id", "field", *("summary" if c == "summary" else F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint").alias(c) for c in CONTEXT_FIELDS))
+
+
 @entry("select label, list_transform(range(64), lambda i: cast(0.0 as double)) as zero, count(*) as n from embeddings group by label")
 def m2_pooling_groups(spark, sf):
     e = table(spark, sf, "embeddings")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators import agreement as G
@@ -128,7 +131,9 @@ def e22_tau(spark, sf):
 
 @entry()
 def ml_isotonic(spark, sf):
-    return M.isotonic(preds(spark, sf).where("category = 'diagnoses'")).select("model", "patient", "item_text", "p", "calibrated")
+    rows = preds(spark, sf).persist()
+    parts = [M.isotonic(rows.where(F.col("category") == c)).select("model", "category", "patient", "item_text", "p", "calibrated") for c in CLASSES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _SIGN = "(case when sign(delta_llm_correct) = sign(delta_physician) then 1 else 0 end)"
@@ -226,6 +231,15 @@ def e18_icc(spark, sf):
     return G.icc21(ranked, ["patient"], "item", "rater", "diagnoses")
 
 
+@entry(" union all ".join(f"select '{c}' as category, * from ({sql(_ICC.replace('diagnoses as v0', f'{c} as v0'), 'rv')})" for c in CLASSES), "icc")
+def e18_icc_all(spark, sf):
+    from pyspark.sql import Window as W
+
+    rows = sheet(spark, sf, "test").where("patient is not null and item is not null and physician is not null")
+    ranked = rows.withColumn("rater", F.dense_rank().over(W.partitionBy("patient", "item").orderBy("physician"))).where("rater <= 2").persist()
+    return reduce(DataFrame.unionByName, (G.icc21(ranked, ["patient"], "item", "rater", c).withColumn("category", F.lit(c)) for c in CLASSES))
+
+
 @entry(sql("select category, count(*) as n, case when var_pop(p) + var_pop(y) + (avg(p) - avg(y)) * (avg(p) - avg(y)) > 1e-12 then 2 * covar_pop(p, y) / (var_pop(p) + var_pop(y) + (avg(p) - avg(y)) * (avg(p) - avg(y))) end as ccc from preds group by category", "preds"), "ccc")
 def e19_ccc(spark, sf):
     return G.concordance(preds(spark, sf), _G, "p", "y")
