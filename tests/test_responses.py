@@ -143,3 +143,11 @@ def test_routing_reads_every_class(spark, tmp_path):
         assert got[i] == wanted.get(i, error)
     values = {r.score_id: r for r in catalogue.queries()["j1_json_scores_all"](spark, str(tmp_path)).collect()}
     assert [values[1][c] for c in classes] == [0.5] * 10 and values[26].parse_error == "MissingKeyError"
+
+
+def test_cache_query_takes_all_responses(spark, tmp_path):
+    from tidewright.plans import catalogue
+
+    rows = [(i, "m", "1", f"i{i}", "context_free", None, 0.5, 0.5) for i in (1, 5, 10, 11)]
+    spark.createDataFrame(rows, "score_id bigint, model string, patient_id string, item_text string, score_condition string, scored_at timestamp, diagnoses double, other double").write.parquet(str(tmp_path / "scores.parquet"))
+    assert {r.score_id for r in catalogue.queries()["s12_without_failed_all"](spark, str(tmp_path)).collect()} == {1, 5, 10}

@@ -165,6 +165,12 @@ def s12_without_failed(spark, sf):
     return Q.without_failed(Q.cache_latest(rows.where("score_id % 5 <> 0"), keys, "score_id"), "error").select(*keys, "score_id")
 
 
+@entry(f"with {_CACHE.replace(' where score_id % 5 <> 0', '')} select {_KEYC}, score_id from cache where error is null")
+def s12_without_failed_all(spark, sf):
+    rows, keys = _responses(spark, sf), _KEYC.split(", ")
+    return Q.without_failed(Q.cache_latest(rows, keys, "score_id"), "error").select(*keys, "score_id")
+
+
 _HASH = "substr(sha256(item_text || '|' || score_condition || case when patient_id like '%7' then '|new' else '' end), 1, 16)"
 
 
