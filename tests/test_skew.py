@@ -1,15 +1,33 @@
+import random
+
 from pyspark.sql import functions as F
 
-from tidewright.plans.skew import hot_keys, salted_lookup
+from tidewright.plans import skew as S
+from tidewright.plans.skew import salted_lookup
+
+
+def test_salted_lookup_with_hot_and_null_keys(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 50}" if i % 7 else None) for i in range(6000)]
+    left = spark.createDataFrame(rows, "id int, k string")
+    right = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(40)]], "k string, v int")
+    plain = {(r.id, r.v) for r in left.join(right, "k", "left").collect()}
+    for hot in (None, spark.createDataFrame([("hot",), ("k1",)], "k string")):
+        got = salted_lookup(left, right, "k", F.col("id"), hot=hot).collect()
+        assert len(got) == 6000 and {(r.id, r.v) for r in got} == plain
+        inner = salted_lookup(left, right, "k", F.col("id"), "inner", hot=hot).collect()
+        assert {(r.id, r.v) for r in inner} == {p for p in plain if p[1] is not None}
 
 
-def test_salted_lookup_equals_a_plain_join(spark):
-    rows = [(i, "hot" if i % 3 == 0 else None if i % 50 == 0 else f"k{i % 700}") for i in range(6000)]
-    left = spark.createDataFrame(rows, "id long, k string")
-    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("hot", 4), (None, 5), ("unused", 6)], "k string, v int")
-    assert [(r.k, r.n_rows) for r in hot_keys(left.where("k is not null"), ["k"]).collect()] == [("hot", 2000)]
-    for how in ("left", "inner"):
-        got = sorted((r.id, r.k or "", r.v or 0) for r in salted_lookup(left, right, "k", F.col("id"), how).collect())
-        want = sorted((r.id, r.k or "", r.v or 0) for r in left.join(right, "k", how).collect())
-        assert got == want
-    assert salted_lookup(left.limit(0), right, "k", F.col("id")).count() == 0
+def test_grid_join_of_keys_that_are_hot_on_both_sides(spark):
+    rng = random.Random(2)
+    keys = ["hot"] * 300 + ["warm"] * 40 + [f"k{i}" for i in range(60)] + [None] * 5
+    a = spark.createDataFrame([(i, rng.choice(keys), i % 3) for i in range(1500)], "a int, k string, j int")
+    b = spark.createDataFrame([(i, rng.choice(keys), i % 3) for i in range(900)], "b int, k string, j int")
+    for on in (["k"], ["k", "j"]):
+        plain = sorted((r.a, r.b) for r in a.join(b, on).select("a", "b").collect())
+        counted = lambda df, on=on: df.groupBy(S.slot_of(on).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        hot = S.grid(counted(a), counted(b), least=20, share=5)
+        assert 0 < hot.count() <= 10 and hot.agg(F.max("n_left")).first()[0] > 1 < hot.agg(F.max("n_right")).first()[0]
+        for known in (None, hot):
+            got = S.grid_join(a, b, on, hot=known)
+            assert sorted((r.a, r.b) for r in got.select("a", "b").collect()) == plain and "__a" not in got.columns

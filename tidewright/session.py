@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -25,12 +26,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    Only a local session that names none (a test) gets a temporary folder; a
+    folder of one machine is no use to a cluster.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewright-checkpoint-"))
 
 
@@ -40,13 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Give a scan of few splits enough partitions for a CPU-heavy step.
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a partition of a small scan that a CPU-heavy step follows.
 
-    A scan that already has several splits per core is left alone, so that a
-    large input is not shuffled for this.
+    Only a scan with fewer splits than cores is shuffled, so at most
+    spark.sql.files.maxPartitionBytes a core; the texts of a larger input stay
+    where the splits of its files put them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 16 * cores:
-        return df
-    return df.repartition(4 * cores, *columns)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
