@@ -48,6 +48,17 @@ select category, n_items, n_votes, observed, expected, case when expected > 0 th
   select category, count(*) as n_items, cast(sum(n) as bigint) as n_votes, sum(2.0 * ones * (n - ones) / (n - 1)) / sum(n) as observed,
     2.0 * sum(ones) * (sum(n) - sum(ones)) / (sum(n) * (sum(n) - 1.0)) as expected from item where n > 1 group by category)""",
     "p5_found": _WORDS + "select least(row_t, row_e) as row_id_a, greatest(row_t, row_e) as row_id_b from near",
+    "p5_links": _WORDS
+    + """,
+own as (select row_id, any_value(split) as split, string_agg(w, ' ' order by w) as s from words group by row_id),
+class as (select s, min(row_id) as class_id from own group by s)
+select distinct ce.class_id as class_eval, ct.class_id as class_train, cast(p.common as int) as n_common, cast(a.n + b.n as int) as n_words
+from pairs p join size a on a.row_id = row_t join size b on b.row_id = row_e join own t on t.row_id = row_t join class ct on ct.s = t.s join own e on e.row_id = row_e join class ce on ce.s = e.s
+where 10 * p.common >= 4 * (a.n + b.n)""",
+    "p5_members": _WORDS
+    + """,
+own as (select row_id, any_value(split) as split, string_agg(w, ' ' order by w) as s from words group by row_id)
+select row_id, min(row_id) over (partition by s) as class_id, split = 'train' as in_train from own""",
     "p5_report": _WORDS
     + """,
 same as (select distinct e.row_id as row_e from (select row_id, string_agg(w, ' ' order by w) as s from words where split = 'train' group by all) t

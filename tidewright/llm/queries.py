@@ -77,6 +77,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.least("row_train", "row_eval").alias("row_id_a"), F.greatest("row_train", "row_eval").alias("row_id_b"))
 
 
+def p5_links(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlap_classes(table(spark, sf, "study_rows"))[0]
+
+
+def p5_members(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlap_classes(table(spark, sf, "study_rows"))[1]
+
+
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.overlap_report(table(spark, sf, "study_rows"))
 
