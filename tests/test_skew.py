@@ -31,3 +31,6 @@ def test_grid_join_of_keys_that_are_hot_on_both_sides(spark):
         for known in (None, hot):
             got = S.grid_join(a, b, on, hot=known)
             assert sorted((r.a, r.b) for r in got.select("a", "b").collect()) == plain and "__a" not in got.columns
+    hashed = lambda df: df.withColumn("k", F.xxhash64("k", "j"))
+    folded = S.grid_join(hashed(a).drop("j"), hashed(b).drop("j"), ["k"], hot=S.grid(*(hashed(d).groupBy(S.slot_of(["k"]).alias("slot")).agg(F.count(F.lit(1)).alias("n")) for d in (a, b)), least=20, share=5), folded=True)
+    assert sorted((r.a, r.b) for r in folded.select("a", "b").collect()) == sorted((r.a, r.b) for r in hashed(a).join(hashed(b), "k").select("a", "b").collect())

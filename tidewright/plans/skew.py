@@ -67,14 +67,16 @@ def grid(left_counts: DataFrame, right_counts: DataFrame, least: int = BLOCK_ROW
     return blocks.where("n_left > 1 or n_right > 1")
 
 
-def grid_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None = None, slot: Column | None = None) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None = None, slot: Column | None = None, folded: bool = False) -> DataFrame:
     """Inner join of two sides of which neither is unique in the keys, with hot keys cut on both sides.
 
     Keys are counted by slot, so that the counts are at most SLOTS rows however
     many keys there are. The rows of a hot slot are cut into blocks by the hash
     of the row, n_left on one side and n_right on the other, and each block is
     repeated for the blocks of the other side: a reducer gets one pair of blocks.
-    ``hot`` (see ``grid``) and ``slot`` can be given where they are known.
+    ``hot`` (see ``grid``) and ``slot`` can be given where they are known. With
+    ``folded`` the one key is a 64-bit hash whose matches are checked later, and
+    the numbers of the blocks are folded into it to keep the rows small.
     """
     slot = slot if slot is not None else slot_of(keys)
     if hot is None:
@@ -87,4 +89,7 @@ def grid_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame
         own_n, other_n = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
         return placed.withColumns({mine: F.pmod("__h", own_n).cast("int"), theirs: F.explode(F.sequence(F.lit(0), other_n - 1))}).drop("__s", "__h", "__slot", "__nl", "__nr")
 
+    if folded:
+        one = lambda df: df.withColumn(keys[0], F.when((F.col("__a") > 0) | (F.col("__b") > 0), F.xxhash64(keys[0], "__a", "__b")).otherwise(F.col(keys[0]))).drop("__a", "__b")
+        return one(cut_up(left, "__nl", "__nr", "__a", "__b")).join(one(cut_up(right, "__nr", "__nl", "__b", "__a")), keys)
     return cut_up(left, "__nl", "__nr", "__a", "__b").join(cut_up(right, "__nr", "__nl", "__b", "__a"), [*keys, "__a", "__b"]).drop("__a", "__b")
