@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidewright.llm import leakage as K
 
 
@@ -74,7 +76,32 @@ def test_empty_long_and_repeated(spark):
 
 
 def test_passages_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(K, "BLOCK", 2)
+    monkeypatch.setattr(K, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(K, "HITS", 3)
     texts = [" ".join(f"q{i}x{j}" for j in range(12)) for i in range(5)]
     d, e = frames(spark, texts, texts)
     assert sorted((r.eval_id, r.doc_id) for r in K.leaks(d, e).collect()) == [(100 + i, i) for i in range(5)]
+
+
+def test_suffixes_in_their_whole_order():
+    rng = np.random.default_rng(3)
+    runs = [rng.integers(1, 4, rng.integers(1, 30)).astype(np.uint64) for _ in range(20)]
+    runs += [runs[0], runs[1]]  # repeated runs
+    tokens = np.concatenate([x for r in runs for x in (r, np.zeros(1, np.uint64))])
+    array = K.SuffixArray(tokens)
+    suffix = lambda i: tokens[i : i + array.left[i]].tolist()
+    listed = [suffix(i) for i in array.at]
+    assert listed == sorted(listed) and len(listed) == sum(map(len, runs))
+    heads = array.coded(np.array([[1, 2, 3], [3, 3, 3], [2, 1, 1]], np.uint64))
+    for head, a, b in zip(([1, 2, 3], [3, 3, 3], [2, 1, 1]), *array.range(heads), strict=True):
+        assert [s[:3] == head for s in listed] == [a <= i < b for i in range(len(listed))]
+
+
+def test_boilerplate_shared_by_many_passages(spark, monkeypatch):
+    """Places are followed a few at a time; a passage that stands in every document is found in each."""
+    monkeypatch.setattr(K, "HITS", 7)
+    boiler = " ".join(f"b{i}" for i in range(14))
+    texts = [f"{boiler} own{i} tail{i}" for i in range(12)]
+    d, e = frames(spark, texts, texts)
+    got = {(r.eval_id, r.doc_id): r.n_words for r in K.leaks(d, e).collect()}
+    assert got == brute(texts, texts) and len(got) == 144
