@@ -3,12 +3,15 @@
 Five kinds are found: email, phone, id_number, street_address and person_name.
 Rules are tried in that order and a later one never overlaps an earlier one.
 
-A placeholder carries a pseudonym. Numbers (phones, id numbers) and dates are
-validated and then permuted within their own format by a keyed Feistel network:
-digits stay digits, letters stay letters, marks stay, a number with a valid
-check digit maps to one with a valid check digit, a date to a date. Equal
-values get equal pseudonyms in all documents, whoever holds the key can invert
-them. Emails, addresses and names get a keyed tag of six hex digits.
+A mention comes with its placeholder, which carries a pseudonym. Numbers
+(phones, id numbers) and dates are validated and then permuted within their own
+format by a keyed Feistel network: digits stay digits, letters stay letters,
+marks stay; card numbers (Luhn), IBANs (mod 97), health numbers (mod 11), social
+security numbers and North American telephone numbers that are valid map to
+valid ones and others to others; a date stays a date, written in its own way.
+Equal values get equal pseudonyms in all documents, a telephone number with or
+without its country code 1 too; whoever holds the key can invert them. Emails,
+addresses and names get a keyed tag of TAG hex digits.
 
 Null texts and null or empty arrays have no mention and come out unchanged. A
 null array element comes out null. Rows that occur twice come out twice.
@@ -66,8 +69,11 @@ ID_NUMBER = [
     re.compile(rf"\b{ID_LABEL}\s*[.:#]*\s*(?P<v>{ID_VALUE})(?![\w])", re.IGNORECASE),
     re.compile(rf"(?:Registered with|Chart copied under|form shows)\s+(?P<v>{ID_VALUE})(?![\w])", re.IGNORECASE),
     re.compile(rf"(?<![\w-])(?P<v>{ID_VALUE})(?=,?\s(?:verified|on file)\b)"),
+    re.compile(r"(?<![\w.-])(?P<v>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?|(?:\d[ -]?){12,18}\d)(?![\w-])"),
     re.compile(r"(?<![\w.-])(?P<v>(?:\d{3}-\d{2}-\d{4}|[A-Z]{3}\d{9}|[A-Z]{2}\d{7}|[A-Z]\d{2}[A-Z]\d{5}|[A-Z]\d{3}-\d{4}(?:-\d{4})?|[A-Z]{2}(?:[ ]\d{2}){3}[ ][A-Z]|999[ ]\d{3}[ ]\d{4}))(?![\w-])"),
 ]
+#: Card numbers and IBANs, which their check digits must prove.
+CHECKED = ID_NUMBER[3]
 _WORD = r"[^\W\d_][\w'’-]*"
 STREET_ADDRESS = re.compile(
     r"(?<![\w-])(?:"
@@ -84,16 +90,21 @@ _NAME = r"[^\W\d_](?:\.|[\w'’-]*)"
 #: What stands before a name, whatever the name.
 CUE = re.compile(
     r"(?:\b(?:Emergency contact(?: is|:)|Next of kin(?: is|:)?|Pt\.?|Neighbou?r|[Dd]aughter|[Ss]on|[Ss]ister|[Bb]rother|[Mm]other|[Ff]ather|[Ww]ife|[Hh]usband|[Ss]pouse|(?:ex-)?[Pp]artner|Named|Referred by|Followed by|"
-    r"Seen with|Sponsor:|Interpreter|Guardian:?|Caregiver:?|Carer:?)[ ]" + f"{_TITLE}?|{_TITLE}" + r")(?=[^\W\d_])"
+    r"Seen with|Sponsor:|Interpreter|Guardian:?|Caregiver:?|Carer:?|[Cc]ontact(?:ed)?|[Ss]poke (?:with|to)|[Aa]ccompanied by|[Ll]ives with|[Vv]isited by|[Mm]et with|[Dd]iscussed with|[Ss]een by|[Ss]igned by|[Nn]amed|[Nn]iece|[Nn]ephew|[Uu]ncle|[Aa]unt|[Ff]riend)[ ]" + f"{_TITLE}?|{_TITLE}" + r")(?=[^\W\d_])"
 )
 #: What follows a name at the beginning of a sentence.
-TAIL = re.compile(r"(?:^|(?<=[.!?][ ])|(?<=\n))(?P<v>[A-Z][\w.'’-]*(?:,?[ ][A-Z][\w.'’-]*){0,3})(?=[ ](?:signed|helps|manages|reports|was present|called|consented)\b)")
+TAIL = re.compile(r"(?:^|(?<=[.!?][ ])|(?<=\n))(?P<v>[A-Z][\w.'’-]*(?:,?[ ][A-Z][\w.'’-]*){0,3})(?=[ ](?:signed|helps|manages|reports|was present|called|consented|came|slept|walked|said|says|states|stated|denies|denied|told|asked|lives|visited|felt|feels|complains|complained|phoned|arrived|agreed|declined|refused|brought|drove|cooks|wrote|writes|works)\b)")
 #: Words that end a name or can't begin one.
 PLAIN = frozenset(
     "a an and are as at by for from had has he helps her his in is was with who reports manages signed since to of on or she the their they will writes pt dr mr mrs ms miss prof neighbour neighbor son daughter "
     "interpreter sponsor followed referred named seen lives custody accompanied emergency next kin contact present community nurse before after works takes married grew ward positive code platelets "
     "attends history dose bp smokes also".split()
 )
+#: Lower-case words that follow a given name in lower case without being its surname; those in -ed, -ing and -ly don't either.
+VERBS = frozenset(
+    "slept came went said told took takes gave gives felt feels ate eats drank drinks sat sits stood stands ran runs got gets saw sees knows knew thinks thought wants asks says states denies walks sleeps comes goes drives drove "
+    "cooks brought brings left leaves lost loses woke wakes fell falls began begins well today yesterday again here home then now still very also not will would can could may must should did does do be been being have having".split()
+)
 #: Words after a capitalised phrase that make it a place, a body or a syndrome.
 PLACE = frozenset("clinic hospital mill center centre community protocol syndrome sign school library church ward unit street road lane avenue test scale score disease criteria college county university".split())
 
@@ -134,7 +145,9 @@ def _name_spans(text: str) -> list[tuple[int, int]]:
     def surname(i: int, like: str) -> bool:
         """Whether token i can be the surname after a given name written like this one."""
         word = tokens[i][2]
-        return folded[i] not in PLAIN and (word[0].isupper() or like.islower() and len(word) > 3)
+        if word[0].isupper():
+            return folded[i] not in PLAIN
+        return like.islower() and len(word) > 3 and folded[i] not in PLAIN and folded[i] not in VERBS and not folded[i].endswith(("ed", "ing", "ly"))
 
     def after(i: int) -> int:
         """The last token of a name whose first token is i."""
@@ -146,6 +159,8 @@ def _name_spans(text: str) -> list[tuple[int, int]]:
             if not (folded[j + 1] in GIVEN or initial(j + 1) or surname(j + 1, tokens[i][2])):
                 break
             j += 1
+            if tokens[j][2].islower() and folded[j] not in GIVEN:  # one surname in lower case
+                break
         return j
 
     spans = Taken()
@@ -208,8 +223,11 @@ def find(text: str) -> list[tuple[str, int, int]]:
         take("street_address", m.start(), m.end())
     for m in PHONE.finditer(text):
         take("phone", m.start(), m.end())
+    for m in CHECKED.finditer(text):
+        if luhn_valid(plain(m["v"])) or iban_valid(plain(m["v"])):
+            take("id_number", m.start("v"), m.end("v"))
     for rule in ID_NUMBER[1:]:
-        for m in rule.finditer(text):
+        for m in rule.finditer(text) if rule is not CHECKED else ():
             if sum(c.isdigit() for c in m["v"]) >= 5:
                 take("id_number", m.start("v"), m.end("v"))
     for start, end in _name_spans(text):
@@ -260,6 +278,11 @@ def _decode(rank: int, shape: str) -> str:
     return "".join(reversed(out))
 
 
+def plain(value: str) -> str:
+    """The ASCII letters and digits of a value."""
+    return "".join(c for c in value if c.isascii() and c.isalnum())
+
+
 def check_digit(nine: str) -> str | None:
     """The modulus-11 check digit of nine digits; null where there is none."""
     check = (11 - sum(int(d) * (10 - i) for i, d in enumerate(nine)) % 11) % 11
@@ -271,70 +294,175 @@ def nhs_valid(digits: str) -> bool:
     return len(digits) == 10 and digits.isdigit() and check_digit(digits[:9]) == digits[9]
 
 
-def is_date(digits: str) -> bool:
-    """YYYYMMDD of a day from 1900 to 2099."""
-    try:
-        return len(digits) == 8 and 1900 <= datetime.date(int(digits[:4]), int(digits[4:6]), int(digits[6:])).year < 2100
-    except ValueError:
-        return False
+def luhn_digit(digits: str) -> str:
+    """The check digit that makes the digits before it a card number."""
+    doubled = (int(d) * (2 if i % 2 == 0 else 1) for i, d in enumerate(reversed(digits)))
+    return str(-sum(d - 9 if d > 9 else d for d in doubled) % 10)
+
+
+def luhn_valid(core: str) -> bool:
+    """Thirteen to nineteen digits with a Luhn check digit, not all equal."""
+    return 13 <= len(core) <= 19 and core.isdigit() and len(set(core)) > 1 and luhn_digit(core[:-1]) == core[-1]
+
+
+def _iban_rest(country: str, account: str) -> int:
+    return int("".join(str(int(c, 36)) for c in (account + country).upper() + "00")) % 97
+
+
+def iban_valid(core: str) -> bool:
+    """Two letters, two check digits and an account of 11 to 30 characters with rest 1 by 97."""
+    return 15 <= len(core) <= 34 and core[:2].isalpha() and core[2:4].isdigit() and 98 - _iban_rest(core[:2], core[4:]) == int(core[2:4])
+
+
+def ssn_valid(core: str) -> bool:
+    """Nine digits whose area, group and serial number can be given out."""
+    return len(core) == 9 and core.isdigit() and core[:3] not in ("000", "666") and core[0] != "9" and core[3:5] != "00" and core[5:] != "0000"
+
+
+def nanp_valid(core: str) -> bool:
+    """Ten digits whose area and exchange begin with 2 to 9."""
+    return len(core) == 10 and core.isdigit() and core[0] >= "2" and core[3] >= "2"
+
+
+#: Kinds of numbers: the test, what of the number is permuted, and how the whole follows from it (none when it can't).
+FORMATS = {
+    "nanp": (nanp_valid, lambda core: core, lambda base, core: base),
+    "nhs": (nhs_valid, lambda core: core[:9], lambda base, core: base + d if (d := check_digit(base)) else None),
+    "card": (luhn_valid, lambda core: core[:-1], lambda base, core: base + luhn_digit(base)),
+    "iban": (iban_valid, lambda core: core[4:], lambda base, core: core[:2] + f"{98 - _iban_rest(core[:2], base):02d}" + base),
+    "ssn": (ssn_valid, lambda core: core, lambda base, core: base),
+    "any": (lambda core: True, lambda core: core, lambda base, core: base),
+}
+
+
+def format_of(core: str, kind: str) -> str:
+    """The first kind of number that the characters are; only telephone numbers follow the telephone plan."""
+    return next(n for n, (holds, _, _) in FORMATS.items() if (kind == "phone" or n != "nanp") and (kind != "phone" or n in ("nanp", "any")) and holds(core))
 
 
 def pseudonym(value: str, key: bytes, kind: str = "number", invert: bool = False) -> str:
-    """The value with its letters and digits permuted within its format.
+    """The value with its letters and digits permuted within its format, one to one among the numbers of its kind.
 
-    A number with a valid check digit maps to one with a valid check digit, one
-    without to one without, so the map stays one to one.
+    A leading country code 1 before a number of the North American plan stays
+    as it is, so that the number has one pseudonym with and without it.
     """
-    core = "".join(c for c in value if c.isascii() and c.isalnum())
-    valid = nhs_valid(core)
-    base = core[:9] if valid else core
+    core = plain(value)
+    fixed = ""
+    if kind == "phone":
+        match = re.fullmatch(r"((?:00)?1)(\d{10})", core)
+        if match and nanp_valid(match[2]):
+            fixed, core = match[1], match[2]
+    name = format_of(core, kind)
+    _, part, whole = FORMATS[name]
+    base = part(core)
     rank, size = _encode(base)
     if size < 2:
         return value
-    tag = f"{kind}:{valid}:{''.join('9' if c.isdigit() else 'A' for c in core)}"
+    tag = f"{kind}:{name}:{core[:2] if name == 'iban' else ''}:{''.join('9' if c.isdigit() else 'A' for c in base)}"
     while True:  # a walk inside the cycle of those that are alike
         rank = permute(rank, size, key, tag, invert)
-        made = _decode(rank, base)
-        if valid and (digit := check_digit(made)) is not None:
-            made += digit
-            break
-        if not valid and not nhs_valid(made):
+        made = whole(_decode(rank, base), core)
+        if made is not None and format_of(made, kind) == name:
             break
-    new = iter(made)
+    new = iter(fixed + made)
     return "".join(next(new) if c.isascii() and c.isalnum() else c for c in value)
 
 
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: English names of months.
+MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = "(?P<name>" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + ")"
+_YEAR = r"(?P<y>(?:19|20)\d\d)"
+#: The ways in which dates are written.
+DATES = [
+    re.compile(rf"(?<![\w-]){_YEAR}(?P<sep>[-/.])(?P<m>\d\d)(?P=sep)(?P<d>\d\d)(?![\w-])"),
+    re.compile(rf"(?<![\w./-])(?P<d>\d{{1,2}})(?P<sep>[-/.])(?P<m>\d{{1,2}})(?P=sep){_YEAR}(?![\w-])"),
+    re.compile(rf"(?<![\w-])(?P<d>\d{{1,2}})(?P<th>st|nd|rd|th)? {_MONTH}(?P<dot>\.?,? ){_YEAR}(?![\w-])"),
+    re.compile(rf"(?<![\w-]){_MONTH}(?P<dot>\.?) (?P<d>\d{{1,2}})(?P<th>st|nd|rd|th)?(?P<sep>,? ){_YEAR}(?![\w-])"),
+]
+
+
+def _day(match: re.Match) -> tuple[datetime.date, bool] | None:
+    """The day of a written date, and whether its month stands first; of two numbers the first is the day where it can be."""
+    found = match.groupdict()
+    d, y = int(found["d"]), int(found["y"])
+    m = next(i for i, n in enumerate(MONTHS, 1) if n.startswith(found["name"])) if found.get("name") else int(found["m"])
+    swapped = not found.get("name") and match.re is DATES[1] and m > 12
+    try:
+        return datetime.date(y, *((d, m) if swapped else (m, d))), swapped
+    except ValueError:
+        return None
+
+
+def is_date(text: str) -> bool:
+    return any((m := rule.fullmatch(text)) and _day(m) for rule in DATES)
 
 
 def pseudonym_date(value: str, key: bytes, invert: bool = False) -> str:
-    """An ISO date permuted among the days from 1900 to 2099."""
-    day = datetime.date.fromisoformat(value).toordinal() - _FIRST
-    return datetime.date.fromordinal(_FIRST + permute(day, _LAST - _FIRST + 1, key, "date", invert)).isoformat()
+    """A date permuted among the days from 1900 to 2099 and written in the same way; anything else comes out as it is.
+
+    One day has one pseudonym in all ways of writing, but for numbers whose
+    month stands first, which are permuted among those that can be told so.
+    """
+    match = next((m for rule in DATES if (m := rule.fullmatch(value)) and _day(m)), None)
+    if match is None:
+        return value
+    day, swapped = _day(match)
+    number = day.toordinal() - _FIRST
+    while True:
+        number = permute(number, _LAST - _FIRST + 1, key, "date:month first" if swapped else "date", invert)
+        day = datetime.date.fromordinal(_FIRST + number)
+        if not swapped or day.day > 12:
+            break
+    new = {"y": str(day.year), "d": str(day.month if swapped else day.day), "m": str(day.day if swapped else day.month)}
+    found = match.groupdict()
+    if found.get("name"):
+        new["name"] = MONTHS[day.month - 1] if found["name"] in MONTHS and found["name"] != "May" else MONTHS[day.month - 1][:3]
+    if found.get("th"):
+        new["th"] = "th" if day.day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(day.day % 10, "th")
+    two = match.re is DATES[0] or match.re is DATES[1] and len(found["d"]) == len(found["m"]) == 2
+    out, last = [], 0
+    for name in sorted((n for n in new if found.get(n)), key=match.start):
+        out += [value[last : match.start(name)], new[name].zfill(2) if two and name in "dm" else new[name]]
+        last = match.end(name)
+    return "".join(out)
+
 
+TAG = 16
 
-DATE = re.compile(r"(?<![\w-])(?:19|20)\d\d-\d\d-\d\d(?![\w-])")
+
+def placeholder(kind: str, value: str, key: bytes) -> str:
+    """What stands for a mention: its kind and its pseudonym."""
+    if kind in ("phone", "id_number"):
+        return f"[{kind.upper()} {pseudonym(value, key, kind)}]"
+    same = " ".join(re.findall(r"\w+", _fold(value)))
+    return f"[{kind.upper()} {hmac.new(key, f'{kind}:{same}'.encode(), hashlib.sha256).hexdigest()[:TAG]}]"
+
+
+def replaced(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
+    """(kind, begin, end, placeholder) of the mentions in a text; marks before the first digit belong to a phone number's placeholder."""
+    out = []
+    for kind, start, end in find(text):
+        first = start
+        while kind == "phone" and first and text[first - 1] in "+(":
+            first -= 1
+        out.append((kind, start, end, placeholder(kind, text[first:end], key)))
+    return out
 
 
 def redact(text: str, key: bytes, dates: bool = True) -> str:
     """The text with placeholders such as [PHONE 263-555-0157] in place of mentions, and its dates permuted."""
-    spans = find(text)
-    if dates:
-        taken = Taken()
-        taken.spans = [(s, e) for _, s, e in spans]
-        spans += [("date", m.start(), m.end()) for m in DATE.finditer(text) if is_date(m[0].replace("-", "")) and taken.free(m.start(), m.end())]
-    out, last = [], 0
-    for kind, start, end in sorted(spans, key=lambda x: x[1]):
-        value = text[start:end]
-        while kind == "phone" and start > last and text[start - 1] in "+(":  # marks before the first digit belong to the number
+    spans = []
+    taken = Taken()
+    for kind, start, end, shown in replaced(text, key):
+        while kind == "phone" and start and text[start - 1] in "+(":
             start -= 1
-        if kind == "date":
-            shown = pseudonym_date(value, key)
-        elif kind in ("phone", "id_number"):
-            shown = f"[{kind.upper()} {pseudonym(value, key, kind)}]"
-        else:
-            same = " ".join(re.findall(r"\w+", _fold(value)))
-            shown = f"[{kind.upper()} {hmac.new(key, f'{kind}:{same}'.encode(), hashlib.sha256).hexdigest()[:6]}]"
+        taken.take(start, end)
+        spans.append((start, end, shown))
+    for rule in DATES if dates else ():
+        spans += [(m.start(), m.end(), pseudonym_date(m[0], key)) for m in rule.finditer(text) if _day(m) and taken.take(m.start(), m.end())]
+    out, last = [], 0
+    for start, end, shown in sorted(spans):
         out += [text[last:start], shown]
         last = end
     return "".join([*out, text[last:]])
@@ -342,20 +470,20 @@ def redact(text: str, key: bytes, dates: bool = True) -> str:
 
 # Operators ----------------------------------------------------------------------------------------
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin_at", T.IntegerType()), T.StructField("end_at", T.IntegerType())]))
+_SPANS = T.ArrayType(T.StructType().add("kind", "string").add("begin_at", "integer").add("end_at", "integer").add("placeholder", "string"))
 
 
-@F.pandas_udf(_SPANS)
-def spans_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else [{"kind": k, "begin_at": s + 1, "end_at": e} for k, s, e in find(t)])
+def mentions(df: DataFrame, id_col: str, text_cols: list[str], array_cols: list[str], key: bytes) -> DataFrame:
+    """(id, field_name, elem_no, kind, begin_at, end_at, placeholder): one row per mention, 1-based, elem_no 0 outside arrays."""
 
+    @F.pandas_udf(_SPANS)
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"kind": k, "begin_at": s + 1, "end_at": e, "placeholder": p} for k, s, e, p in replaced(t, key)])
 
-def mentions(df: DataFrame, id_col: str, text_cols: list[str], array_cols: list[str]) -> DataFrame:
-    """(id, field_name, elem_no, kind, begin_at, end_at): one row per mention, 1-based, elem_no 0 outside arrays."""
     parts = [F.array(F.struct(F.lit(c).alias("field_name"), F.lit(0).alias("elem_no"), F.col(c).alias("t"))) for c in text_cols]
     parts += [F.expr(f"transform(coalesce(`{c}`, array()), (t, i) -> struct('{c}' as field_name, i + 1 as elem_no, t as t))") for c in array_cols]
     texts = spread(df).select(F.col(id_col).alias(id_col), F.explode(F.concat(*parts)).alias("p")).select(id_col, "p.*").where("t is not null and t <> ''")
-    return texts.select(id_col, "field_name", "elem_no", F.inline(spans_udf("t")))
+    return texts.select(id_col, "field_name", "elem_no", F.inline(spans("t")))
 
 
 def redacted(df: DataFrame, text_cols: list[str], array_cols: list[str], key: bytes, dates: bool = True) -> DataFrame:

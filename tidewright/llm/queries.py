@@ -36,10 +36,14 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = private.mentions(table(spark, sf, "patient_summaries"), "summary_id", ["summary"], ["medical_history", "social_history"])
+    found = private.mentions(table(spark, sf, "patient_summaries"), "summary_id", ["summary"], ["medical_history", "social_history"], KEY)
     return found.select("summary_id", "field_name", "elem_no", "kind", "begin_at")
 
 
+def p2_placeholders(spark: SparkSession, sf: str) -> DataFrame:
+    return private.mentions(table(spark, sf, "patient_summaries"), "summary_id", ["summary"], ["medical_history", "social_history"], KEY)
+
+
 def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return private.redacted(table(spark, sf, "patient_summaries"), ["summary"], ["medical_history", "social_history"], KEY).select("summary_id", "summary", "medical_history", "social_history")
 
