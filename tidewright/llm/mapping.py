@@ -4,8 +4,9 @@ A value is turned into tokens (compatibility forms folded, lower case, numbers
 apart from units, known abbreviations spelled out). Then:
 
 1. an automaton over all canonical names and aliases finds the mentions in it;
-   of overlapping ones the longest wins; a mention holds when nothing else of
-   the list's vocabulary and no other number is left over;
+   they are taken longest first where they don't overlap, and the longest wins;
+   two equally long ones of different items are no match, and neither is a
+   value with other words of the list outside its mentions or other numbers;
 2. remaining values go to token-set similarity: every token must be a token of
    the canonical item up to a few typing errors or an abbreviation, every token
    of the item must be there, but for the form after a dose; the least total
@@ -13,18 +14,26 @@ apart from units, known abbreviations spelled out). Then:
 
 Numbers must be equal in any case. Abbreviations are learned from the aliases
 of the list (an alias that differs from its item in one word, seen twice) on
-top of a small fixed table. Values are mapped row by row, with a cache, so no
-shuffle is needed; the list is held in blocks of BLOCK items.
+top of a table that can be given, as can the words that say nothing.
+
+Each distinct value is mapped once and looked up by its rows, those of a very
+frequent value being spread. Tasks know the vocabulary of the whole list and go
+through its items in blocks of BLOCK, so ties, vocabulary and abbreviations are
+those of the whole list whatever the block.
 
 Null or blank values are left out; a value that means nothing maps to 0. An
-empty list maps everything to 0. Repeated values get the same item.
+empty list maps everything to 0. Repeated values get the same item. Items
+without text and null ids are left out of the list.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -33,19 +42,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.session import spread
+from tidewright.plans.skew import salted_lookup
 
+#: Items that a task holds at once; it changes no result.
 BLOCK = 50_000
 CACHE = 200_000
 
-#: Abbreviations and spellings.
+#: Abbreviations and spellings, unless others are given.
 ABBREVIATIONS = {
     "milligram": "mg", "milligrams": "mg", "mgs": "mg", "tab": "tablet", "tabs": "tablet", "tablets": "tablet", "cap": "capsule", "caps": "capsule", "capsules": "capsule", "inj": "injection",
     "supp": "suppository", "soln": "solution", "sol": "solution", "ab": "antibody", "scr": "screen", "seq": "sequencing", "us": "ultrasound", "wo": "without", "hist": "history",
     "susp": "suspected", "interm": "intermittent", "insuff": "insufficiency", "recurr": "recurrent", "bilat": "bilateral", "unspec": "unspecified", "inflam": "inflammation", "sev": "severe",
     "chr": "chronic", "infxn": "infection", "oedema": "edema", "congen": "congenital", "prog": "progressive", "juv": "juvenile", "ac": "acute", "neurop": "neuropathy",
 }
-#: Words that say nothing about the item.
+#: Words that say nothing about the item, unless others are given.
 FILLERS = frozenset("a an the pt patient takes taking taken on hx history of see chart confirmed noted note per home med meds medication reported known possible probable likely query also still and".split())
 FORM_UNIT = "mg"
 
@@ -98,70 +108,44 @@ def shortened(word: str, by: int) -> set[str]:
     return out
 
 
-class CanonicalList:
-    """A block of the list: (canonical_id, item, variants)."""
+class Vocabulary:
+    """What all items of the list share: their tokens, and what abbreviations stand for."""
 
-    def __init__(self, rows: list[tuple[int, str, list[str] | None]]):
-        self.rows = [(i, item, [v for v in variants or [] if v]) for i, item, variants in rows if item and item.strip()]
-        learned: Counter[tuple[str, str]] = Counter()
-        for _, item, variants in self.rows:
-            have = Counter(tokens(item))
-            for variant in variants:
-                said = Counter(tokens(variant))
-                more, less = list((said - have).elements()), list((have - said).elements())
-                if len(more) == len(less) == 1 and not more[0][0].isdigit() and not less[0][0].isdigit():
-                    learned[more[0], less[0]] += 1
-        self.vocabulary = vocabulary = {t for _, item, _ in self.rows for t in tokens(item) if not t[0].isdigit()}
-        self.spelled = {a: b for a, b in ABBREVIATIONS.items() if a not in vocabulary}
-        for (a, b), n in sorted(learned.items(), key=lambda x: x[1]):
-            if n > 1 and a not in vocabulary:
+    def __init__(self, listed: set[str], learned: dict[tuple[str, str], int], abbreviations: dict[str, str], fillers: frozenset[str]):
+        self.listed, self.abbreviations, self.fillers = listed, abbreviations, fillers
+        self.spelled = {a: b for a, b in abbreviations.items() if a not in listed}
+        for (a, b), _ in sorted(learned.items(), key=lambda x: (x[1], x[0])):
+            if a not in listed:
                 self.spelled[a] = b
-        self.spell_long = lru_cache(CACHE)(self._spell_long)
-        self.items: dict[int, list[str]] = {}
-        self.holding: dict[str, set[int]] = defaultdict(set)
-        self.automaton = ahocorasick.Automaton()
-        patterns: dict[str, set[int]] = defaultdict(set)
-        for key, item, _ in self.rows:
-            self.items[key] = self.spell(tokens(item))
-            for t in self.items[key]:
-                self.holding[t].add(key)
-        for key, item, variants in self.rows:
-            for name in [item, *variants]:
-                found = self.content(name)
-                if found:
-                    patterns[" " + " ".join(found) + " "].add(key)
-        for pattern, keys in patterns.items():
-            self.automaton.add_word(pattern, (pattern, min(keys), len(keys)))
-        if patterns:
-            self.automaton.make_automaton()
-        self.words = sorted(t for t in self.holding if not t[0].isdigit())
+        self.words = sorted(t for t in listed if not t[0].isdigit())
         self.longest = max(map(len, self.words), default=0)
         self.near: dict[str, set[str]] = defaultdict(set)
         for word in self.words:
             for short in shortened(word, allowed(len(word))):
                 self.near[short].add(word)
+        self.long_fillers = [f for f in fillers if len(f) > 6]
+        self.spell_long = lru_cache(CACHE)(self._spell_long)
         self.match_word = lru_cache(CACHE)(self._match_word)
-        self.map = lru_cache(CACHE)(self._map)
 
     def spell(self, found: list[str]) -> list[str]:
         return [self.spelled.get(t) or self.spell_long(t) for t in found]
 
     def _spell_long(self, token: str) -> str:
         """What a long abbreviation with up to two typing errors stands for; else the token."""
-        if not 7 < len(token) < 20 or token in self.vocabulary:
+        if not 7 < len(token) < 20 or token in self.listed:
             return token
-        return next((b for a, b in self.spelled.items() if len(a) > 7 and a in ABBREVIATIONS and errors(token, a, 2) <= 2), token)
+        return next((b for a, b in self.spelled.items() if len(a) > 7 and a in self.abbreviations and errors(token, a, 2) <= 2), token)
 
     def content(self, text: str) -> list[str]:
         """The spelled tokens of a text without fillers that no item has."""
-        return [t for t in self.spell(tokens(text)) if t in self.holding or not self.filler(t)]
+        return [t for t in self.spell(tokens(text)) if t in self.listed or not self.filler(t)]
 
     def filler(self, token: str) -> bool:
-        return token in FILLERS or len(token) > 6 and token not in self.holding and any(errors(token, f, 2) <= 2 for f in ("confirmed", "reported", "medication", "patient", "history") if abs(len(f) - len(token)) < 3)
+        return token in self.fillers or len(token) > 6 and token not in self.listed and any(errors(token, f, 2) <= 2 for f in self.long_fillers if abs(len(f) - len(token)) < 3)
 
     def _match_word(self, word: str) -> dict[str, float]:
         """Words of the list that the word can stand for, with their costs."""
-        if word in self.holding:
+        if word in self.listed:
             return {word: 0.0}
         if word[0].isdigit() or len(word) > self.longest + 3:
             return {}
@@ -171,66 +155,89 @@ class CanonicalList:
                 if w not in out and (e := errors(word, w, allowed(len(w)))) <= allowed(len(w)) and (e < 3 or word[0] == w[0]):
                     out[w] = float(e)
         if len(word) >= 3:
-            for w in self.words:
-                if w.startswith(word) and len(w) > len(word):
-                    out[w] = min(out.get(w, 9.0), 0.5)
+            i = bisect.bisect_right(self.words, word)
+            while i < len(self.words) and self.words[i].startswith(word):
+                out[self.words[i]] = min(out.get(self.words[i], 9.0), 0.5)
+                i += 1
         return out
 
-    def _map(self, text: str) -> tuple[int, float]:
-        """(canonical_id, cost), id 0 when nothing on the list is meant."""
-        found = self.content(text)
-        if not found or not self.items:
-            return 0, 99.0
-        numbers = Counter(t for t in found if t[0].isdigit())
-        key = self._mention(found, numbers)
-        return (key, 0.0) if key else self._similar(found, numbers)
-
-    def numbers(self, key: int) -> Counter[str]:
-        return Counter(t for t in self.items[key] if t[0].isdigit())
-
-    def _mention(self, found: list[str], numbers: Counter[str]) -> int:
-        line = " " + " ".join(found) + " "
-        hits = [(end - len(p) + 1, end, key, n) for end, (p, key, n) in self.automaton.iter(line)]
-        taken: list[tuple[int, int, int, int]] = []
-        for start, end, key, n in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):  # longest first
-            if all(end <= s or e <= start for s, e, _, _ in taken):
-                taken.append((start, end, key, n))
-        if not taken or taken[0][3] > 1:
-            return 0
-        start, end, key, _ = taken[0]
-        rest = (line[:start] + " " + line[end:]).split()
-        if numbers != self.numbers(key) or any(self.match_word(t) for t in rest):
+
+class Value:
+    """One value on its way through the blocks of the list."""
+
+    def __init__(self, text: str, vocabulary: Vocabulary):
+        self.found = vocabulary.content(text)
+        self.line = " " + " ".join(self.found) + " "
+        self.numbers = Counter(t for t in self.found if t[0].isdigit())
+        self.hits: dict[tuple[int, int], set[int]] = defaultdict(set)
+        self.alike = set()
+        words = [t for t in self.found if not t[0].isdigit()]
+        self.options = [vocabulary.match_word(t) for t in words]
+        if not all(self.options):
+            self.options = []
+        self.scored: list[tuple[float, int]] = []
+
+    def decided(self, vocabulary: Vocabulary) -> int:
+        """The canonical id meant, 0 for none."""
+        taken: list[tuple[int, int]] = []
+        for start, end in sorted(self.hits, key=lambda h: (h[0] - h[1], h[0])):  # longest first
+            if all(end <= s + 1 or e <= start + 1 for s, e in taken):  # the blank between two mentions belongs to both
+                taken.append((start, end))
+        longest = {key for s, e in taken if e - s == taken[0][1] - taken[0][0] for key in self.hits[s, e]}
+        if len(longest) == 1 and next(iter(longest)) in self.alike:
+            rest, last = [], 0
+            for start, end in sorted(taken):
+                rest += self.line[last:start].split()
+                last = end
+            rest += self.line[last:].split()
+            if not any(vocabulary.match_word(t) for t in rest):
+                return next(iter(longest))
+        self.scored.sort()
+        if not self.scored or len(self.scored) > 1 and self.scored[0][0] == self.scored[1][0]:
             return 0
-        return key
-
-    def _similar(self, found: list[str], numbers: Counter[str]) -> tuple[int, float]:
-        options = []
-        for t in found:
-            if not t[0].isdigit():
-                options.append(self.match_word(t))
-                if not options[-1]:
-                    return 0, 99.0
-        if not options:
-            return 0, 99.0
+        return self.scored[0][1]
+
+
+class Block:
+    """A block of the list: (canonical_id, item, variants)."""
+
+    def __init__(self, rows: list[tuple[int, str, list[str] | None]], vocabulary: Vocabulary):
+        self.items = {key: vocabulary.spell(tokens(item)) for key, item, _ in rows}
+        self.numbers = {key: Counter(t for t in item if t[0].isdigit()) for key, item in self.items.items()}
+        self.holding: dict[str, set[int]] = defaultdict(set)
+        patterns: dict[str, set[int]] = defaultdict(set)
+        for key, item, variants in rows:
+            for t in self.items[key]:
+                self.holding[t].add(key)
+            for name in [item, *(v for v in variants or [] if v)]:
+                if found := vocabulary.content(name):
+                    patterns[" " + " ".join(found) + " "].add(key)
+        self.automaton = ahocorasick.Automaton()
+        for pattern, keys in patterns.items():
+            self.automaton.add_word(pattern, (len(pattern), keys))
+        self.any = bool(patterns)
+        if patterns:
+            self.automaton.make_automaton()
+
+    def visit(self, value: Value) -> None:
+        """Add the block's mentions in the value, the items of equal numbers among them, and its two best similar items."""
+        if not value.found:
+            return
+        if self.any:
+            for end, (length, keys) in self.automaton.iter(value.line):
+                value.hits[end - length + 1, end + 1] |= keys
+                value.alike |= {k for k in keys if self.numbers[k] == value.numbers}
         candidates: set[int] | None = None
-        for words in sorted(options, key=lambda o: sum(len(self.holding[w]) for w in o)):
-            keys = set().union(*(self.holding[w] for w in words))
+        for words in sorted(value.options, key=lambda o: sum(len(self.holding.get(w, ())) for w in o)):
+            keys = set().union(*(self.holding.get(w, ()) for w in words))
             candidates = keys if candidates is None else candidates & keys
             if not candidates:
-                return 0, 99.0
+                return
         scored = []
         for key in candidates or ():
-            if self.numbers(key) != numbers:
-                continue
-            cost = self._cost(options, self.items[key])
-            if cost is not None:
+            if self.numbers[key] == value.numbers and (cost := self._cost(value.options, self.items[key])) is not None:
                 scored.append((cost, key))
-        if not scored:
-            return 0, 99.0
-        scored.sort()
-        if len(scored) > 1 and scored[0][0] == scored[1][0]:
-            return 0, 99.0
-        return scored[0][1], scored[0][0]
+        value.scored += sorted(scored)[:2]
 
     def _cost(self, options: list[dict[str, float]], item: list[str]) -> float | None:
         """The least cost of giving each token a word of the item; None when a token or a needed word is left."""
@@ -250,35 +257,67 @@ class CanonicalList:
         return total
 
 
-_RESULT = T.StructType([T.StructField("cost", T.DoubleType()), T.StructField("canonical_id", T.IntegerType())])
+@F.pandas_udf(T.StructType().add("listed", T.ArrayType(T.StringType())).add("learned", T.ArrayType(T.StringType())))
+def said_udf(items: pd.Series, variants: pd.Series) -> pd.DataFrame:
+    """The tokens of an item, and the words that its variants put for one of them."""
+    out = []
+    for item, others in zip(items, variants, strict=True):
+        have = Counter(tokens(item))
+        learned = []
+        for variant in others if others is not None else []:
+            said = Counter(tokens(variant or ""))
+            more, less = list((said - have).elements()), list((have - said).elements())
+            if variant and len(more) == len(less) == 1 and not more[0][0].isdigit() and not less[0][0].isdigit():
+                learned.append(f"{more[0]} {less[0]}")
+        out.append((sorted(have), learned))
+    return pd.DataFrame(out, columns=["listed", "learned"])
+
+
+#: What a Python worker has built, by broadcast and block: one vocabulary and one block.
+_BUILT: dict[str, tuple] = {}
+
+
+def _built(slot: str, name: tuple, make):
+    if _BUILT.get(slot, (None, None))[0] != name:
+        _BUILT[slot] = (name, make())
+    return _BUILT[slot][1]
 
 
-def mapped(entries: DataFrame, listed: DataFrame, text_col: str, id_col: str = "canonical_id", item_col: str = "canonical_item", variants_col: str = "variants", into: str = "mapped_id") -> DataFrame:
+def mapped(
+    entries: DataFrame, listed: DataFrame, text_col: str, id_col: str = "canonical_id", item_col: str = "canonical_item", variants_col: str = "variants", into: str = "mapped_id",
+    abbreviations: dict[str, str] = ABBREVIATIONS, fillers: frozenset[str] = FILLERS, block: int | None = None,
+) -> DataFrame:
     """All columns of the entries whose value is neither null nor blank, and the canonical id meant (0: none)."""
-    kept = spread(entries.where(F.col(text_col).isNotNull() & (F.regexp_replace(F.col(text_col), r"[\s\p{Z}\p{C}]", "") != "")))
-    best, block = [], []
-
-    def add() -> None:
-        held = entries.sparkSession.sparkContext.broadcast(block.copy())
-        made: list[CanonicalList] = []
-
-        @F.pandas_udf(_RESULT)
-        def of_block(texts: pd.Series) -> pd.DataFrame:
-            if not made:
-                made.append(CanonicalList(held.value))
-            found = [made[0].map(t) for t in texts]
-            return pd.DataFrame({"cost": [c if k else 99.0 for k, c in found], "canonical_id": pd.Series([k for k, _ in found], dtype="int32")})
-
-        best.append(of_block(F.col(text_col)))
-
-    for row in listed.select(id_col, item_col, variants_col).where(F.col(id_col).isNotNull()).orderBy(id_col).toLocalIterator():
-        block.append((row[0], row[1], list(row[2]) if row[2] is not None else None))
-        if len(block) == BLOCK:
-            add()
-            block = []
-    if block or not best:
-        add()
-    return kept.withColumn(into, F.array_min(F.array(*best))["canonical_id"])
+    context = entries.sparkSession.sparkContext
+    items = listed.select(F.col(id_col).cast("int").alias("key"), F.col(item_col).alias("item"), F.col(variants_col).alias("variants")).where("key is not null and trim(item) <> ''")
+    said = items.select(said_udf("item", "variants").alias("s"))
+    words = {r[0] for r in said.select(F.explode("s.listed")).distinct().collect()}  # the vocabulary of the list
+    pairs = said.select(F.explode("s.learned").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()  # of the same vocabulary
+    known = context.broadcast((words, {tuple(p.split(" ")): n for p, n in pairs}, abbreviations, fillers))
+    blocks, rows = [], []
+    for row in items.orderBy("key").toLocalIterator():  # one block at a time
+        rows.append((row[0], row[1], list(row[2]) if row[2] is not None else None))
+        if len(rows) == (block or BLOCK):
+            blocks.append(context.broadcast(rows))
+            rows = []
+    if rows:
+        blocks.append(context.broadcast(rows))
+    run_id = uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = _built("vocabulary", (run_id,), lambda: Vocabulary(*known.value))
+        for pdf in batches:
+            values = [Value(t, vocabulary) for t in pdf["value"]]
+            for i, held in enumerate(blocks):
+                one = _built("block", (run_id, i), lambda held=held: Block(held.value, vocabulary))
+                for value in values:
+                    one.visit(value)
+            yield pd.DataFrame({"value": pdf["value"], into: pd.Series([v.decided(vocabulary) for v in values], dtype="int32")})
+
+    kept = entries.where(F.col(text_col).isNotNull() & (F.regexp_replace(F.col(text_col), r"[\s\p{Z}\p{C}]", "") != ""))
+    distinct = kept.select(F.col(text_col).alias("value")).distinct()
+    meant = distinct.mapInPandas(run, f"value string, `{into}` int").withColumnRenamed("value", "__value")
+    return salted_lookup(kept.withColumn("__value", F.col(text_col)), meant, "__value", F.xxhash64(*entries.columns)).drop("__value").select(*entries.columns, into)
 
 
 def unmatched_report(done: DataFrame, text_col: str, into: str = "mapped_id") -> DataFrame:
