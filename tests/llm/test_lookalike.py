@@ -22,8 +22,14 @@ def test_skeletons():
     assert L.skeleton("a\r\nb") == L.skeleton("a\nb")
 
 
+def test_letters_of_other_scripts_and_fonts():
+    for shown, plain in (("ꓮꓐꓪ", "ABW"), ("Ⲟⲟ", "Oo"), ("𝐀𝗛ℍ", "AHH"), ("ᴏᴠᴢ", "ovz"), ("ᎪᎢᏚ", "ATS"), ("ιυγı", "iuyi"), ("β", "ß"), ("κτ", "кт"), ("𝛂", "a")):
+        assert L.skeleton(shown) == L.skeleton(plain)
+    assert L.skeleton("0") != L.skeleton("O") and L.skeleton("1") != L.skeleton("l") and L.skeleton("ᴀ") != L.skeleton("a")
+
+
 def test_skeleton_of_a_skeleton():
-    for t in [*ALIKE, "ﬁ", "ё", "Å", "µ", "ﾊﾞ"]:
+    for t in [*ALIKE, "ﬁ", "ё", "Å", "µ", "ﾊﾞ", "β", "κ", "𝛂", "ᴛ"]:
         assert L.skeleton(L.skeleton(t)) == L.skeleton(t)
 
 

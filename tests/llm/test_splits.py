@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import splits
 
@@ -95,3 +96,25 @@ def test_long_ids(spark):
     got = splits.grouped(frame(spark, [(1, big, None, None), (2, "00" + big, None, None), (3, "x" * 100_000, None, None)]), "row_id", IDS).collect()
     assert len({r.root for r in got if r.row_id < 3}) == 1
     assert all(r.group_no is None for r in got)
+
+
+def test_root_and_split_follow_from_the_rows_alone(spark, monkeypatch):
+    """The size at which a graph is merged in one task changes neither the root nor the split of any row."""
+    rng = random.Random(6)
+    rows = [(i, str(rng.randrange(300)), f"A{rng.randrange(400)}" if i % 2 else None, f"S{rng.randrange(500)}" if i % 5 == 0 else None) for i in range(500)]
+    rows += [(1000 + i, str(900 + i), "A9999", None) for i in range(1500)]  # a hub
+    seen = []
+    for small in (0, 200, splits.SMALL_GRAPH):
+        monkeypatch.setattr(splits, "SMALL_GRAPH", small)
+        groups = splits.grouped(frame(spark, rows), "row_id", IDS)
+        seen.append(sorted((r.row_id, r.root, r.split) for r in splits.assign_splits(groups, {"train": 0.7, "val": 0.15, "test": 0.15}).collect()))
+    assert seen[0] == seen[1] == seen[2] and len({root for i, root, _ in seen[0] if i >= 1000}) == 1
+
+
+def test_ids_of_several_numbers_and_other_rules(spark):
+    rows = [(1, "A12-B3", None, None), (2, "a012/b03", None, None), (3, "A12-B4", None, None), (4, "Zoe", None, None), (5, " zoe", None, None)]
+    roots = {r.row_id: r.root for r in splits.grouped(frame(spark, rows), "row_id", IDS).collect()}
+    assert roots[1] == roots[2] != roots[3] and roots[4] is None
+    named = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    roots = {r.row_id: r.root for r in splits.grouped(frame(spark, rows), "row_id", IDS, named).collect()}
+    assert roots[4] == roots[5] is not None and len(set(roots.values())) == 4

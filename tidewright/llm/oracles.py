@@ -29,7 +29,22 @@ with held as (select pair_id, category, physician, arg_max(coalesce(vote, -1), (
 item as (select pair_id, category, count(*) as n, sum(vote) as ones from held where vote >= 0 group by all)
 """
 
+
+
+def _rounds(n: int) -> str:
+    """Expectation-maximisation in n rounds, each two small tables of parameters and the posteriors that follow."""
+    w = "(partition by pair_id, category)"
+    out = [f"e0 as materialized (select pair_id, category, physician, vote, count(*) over {w} as n, (sum(vote) over {w} + 0.5) / (count(*) over {w} + 1.0) as p from held where vote >= 0)"]
+    for i in range(1, n + 1):
+        out.append(f"o{i} as materialized (select physician, (sum(p * vote) + 2) / (sum(p) + 3) as sens, (sum((1 - p) * (1 - vote)) + 2) / (sum(1 - p) + 3) as spec from e{i - 1} group by physician)")
+        out.append(f"c{i} as materialized (select category, (sum(p / n) + 1) / (sum(1.0 / n) + 2) as prior from e{i - 1} group by category)")
+        odds = f"sum(case when vote = 1 then ln(sens) - ln(1 - spec) else ln(1 - sens) - ln(spec) end) over {w} + ln(prior) - ln(1 - prior)"
+        out.append(f"e{i} as materialized (select pair_id, e.category, e.physician, vote, n, 1 / (1 + exp(-({odds}))) as p from e{i - 1} e join o{i} o on o.physician = e.physician join c{i} c on c.category = e.category)")
+    return ",\n".join(out)
+
+
 SQL = {
+    "p4_found": _VOTES.rstrip() + ",\n" + _rounds(25) + "\nselect distinct pair_id, category from e25 where p >= 0.5",
     "p1_found": r"""
 with recursive ids as (
   select row_id, n from (select row_id, unnest(['0:' || nullif(regexp_extract(patient_id, '^[^0-9]*?0*([0-9]+?)(\.0+)?[^0-9]*$', 1), ''),

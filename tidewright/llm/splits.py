@@ -6,36 +6,40 @@ components are found by breadth-first search from many seeds at once:
 
 1. seeds are the nodes whose hash is smaller than that of all neighbours, so
    every component has one;
-2. all seeds expand together for a few steps, frontier by frontier, over the
-   adjacency list hashed by node, each node keeping the smallest seed that
-   reaches it first; a node that none reaches becomes a seed;
+2. all seeds expand together: the adjacency lists are hash-partitioned once by
+   node, the list of a node with very many neighbours being cut in SALTS parts,
+   and only the nodes that were reached last meet them in each of HOPS steps; a
+   node takes the smallest seed of those that reach it first, and one that none
+   reaches is its own seed;
 3. edges between nodes of different seeds are collisions: they make a graph of
    seeds, far smaller. While it has more than SMALL_GRAPH edges the same is done
-   on it; then its seeds are merged in one task.
+   on it; then its seeds are merged in one task. The root of a component is its
+   smallest node either way.
 
 Components are then put into the splits in hash order, by cumulated row counts.
 Components of at least 1/LARGE of all rows, of which there are at most LARGE,
-are placed first, each where most room is left.
+are placed first, each where most room is left: in hash order one of a third of
+the rows would fall on a small split as a whole.
 
 A row without usable id is a component of its own. Null ids, words that name
 nobody (ids without digits) and blank ids tie nothing. Empty tables give empty
-results.
+results. A repeated row is tied to itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.plans.skew import salted_lookup
+from tidewright.plans.skew import SALTS, hot_keys, salted_lookup
 from tidewright.session import cut
 
-#: Digits of an id between other characters; leading zeros and a decimal zero don't count.
-ID_NUMBER = r"^[^0-9]*0*([0-9]+?)(?:\.0+)?[^0-9]*$"
+#: A number in an id; a decimal zero doesn't count.
+ID_NUMBER = r"([0-9]+)(?:\.0+(?![0-9]))?"
 LARGE = 100
 HOPS = 2
 #: Edges that one task merges; a graph of more is searched again.
@@ -44,13 +48,18 @@ BUCKETS = 1024
 
 
 def id_number(column: Column) -> Column:
-    """The number in an id as a string without leading zeros; null when the id names nobody."""
-    return F.nullif(F.regexp_extract(column.cast("string"), ID_NUMBER, 1), F.lit(""))
+    """The numbers in an id without leading zeros, joined by a hyphen; null when the id names nobody."""
+    found = F.regexp_extract_all(column.cast("string"), F.lit(ID_NUMBER), F.lit(1))
+    return F.nullif(F.array_join(F.transform(found, lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")), "-"), F.lit(""))
 
 
-def ties(df: DataFrame, row_col: str, id_cols: list[str]) -> DataFrame:
-    """(row_id, nodes): the usable ids of each row as nodes ``kind:number``, in the order of id_cols."""
-    nodes = [F.concat(F.lit(f"{i}:"), id_number(F.col(c))) for i, c in enumerate(id_cols)]
+def ties(df: DataFrame, row_col: str, id_cols: list[str], normal: Callable[[Column], Column] = id_number) -> DataFrame:
+    """(row_id, nodes): the usable ids of each row as nodes ``kind:number``, in the order of id_cols.
+
+    ``normal`` turns an id into the text that equal ids share, null for one that
+    ties nothing.
+    """
+    nodes = [F.concat(F.lit(f"{i}:"), normal(F.col(c))) for i, c in enumerate(id_cols)]
     return df.select(F.col(row_col).alias("row_id"), F.array_compact(F.array(*nodes)).alias("nodes"))
 
 
@@ -65,19 +74,25 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.selectExpr("inline(array(named_struct('src', a, 'dst', b), named_struct('src', b, 'dst', a)))")
 
 
-def _seeded(adjacent: DataFrame) -> DataFrame:
-    """(node, seed) for every node: breadth-first search of HOPS steps from all seeds at once.
-
-    A node that no seed reaches in HOPS steps is its own seed.
-    """
+def _seeded(edges: DataFrame) -> DataFrame:
+    """(node, seed) for every node: breadth-first search of HOPS steps from all seeds at once."""
+    both = _both_ways(edges)
+    hot = F.broadcast(hot_keys(both, ["src"]).select(F.col("src").alias("hub")))
+    salted = both.join(hot, F.col("src") == F.col("hub"), "left").withColumn("salt", F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("dst"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    adjacent = salted.select("src", "salt", "dst").repartition("src", "salt").persist()
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     least = adjacent.groupBy("src").agg(F.min(rank("dst")).alias("around"))
-    labels = least.select(F.col("src").alias("node"), F.when(rank("src") < F.col("around"), F.col("src")).alias("seed"))
-    for _ in range(HOPS):
-        frontier = labels.where("seed is not null").select(F.col("node").alias("dst"), "seed")
-        reached = adjacent.join(frontier, "dst").groupBy(F.col("src").alias("node")).agg(F.min("seed").alias("met"))
-        labels = labels.join(reached, "node", "left").select("node", F.coalesce("seed", "met").alias("seed"))
-    return labels.select("node", F.coalesce("seed", "node").alias("seed"))
+    is_seed = rank("src") < F.col("around")
+    labels = least.select(F.col("src").alias("node"), F.when(is_seed, F.col("src")).alias("seed"), F.when(is_seed, 0).alias("step"))
+    for step in range(1, HOPS + 1):
+        last = labels.where(F.col("step") == step - 1).join(hot, F.col("node") == F.col("hub"), "left")
+        parts = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        frontier = last.select(F.col("node").alias("src"), F.explode(parts).alias("salt"), "seed")
+        reached = adjacent.join(frontier, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(F.min("seed").alias("met"))
+        labels = labels.join(reached, "node", "left").select("node", F.coalesce("seed", "met").alias("seed"), F.coalesce("step", F.when(F.col("met").isNotNull(), step)).alias("step"))
+    done = cut(labels.select("node", F.coalesce("seed", "node").alias("seed")))
+    adjacent.unpersist()
+    return done
 
 
 def _merged(edges: DataFrame) -> DataFrame:
@@ -110,7 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
         if maps and n <= SMALL_GRAPH:
             maps.append(cut(_merged(edges)))
             break
-        seeds = cut(_seeded(_both_ways(edges)))
+        seeds = _seeded(edges)
         maps.append(seeds)
         of = lambda end: seeds.select(F.col("node").alias(end), F.col("seed").alias(f"seed_{end}"))
         met = edges.join(of("a"), "a").join(of("b"), "b").where("seed_a <> seed_b")
@@ -124,19 +139,19 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def grouped(df: DataFrame, row_col: str, id_cols: list[str]) -> DataFrame:
+def grouped(df: DataFrame, row_col: str, id_cols: list[str], normal: Callable[[Column], Column] = id_number) -> DataFrame:
     """(row_id, root, group_no) of every row; root null when no id is usable.
 
-    group_no is the smallest number of the first id column in the group, null
-    when the group has none.
+    root is the smallest node of the group, group_no the smallest number of the
+    first id column in it, null when it has none.
     """
-    tied = ties(df, row_col, id_cols).persist()
+    tied = ties(df, row_col, id_cols, normal)
     roots = components(tie_edges(tied))
     alone = tied.where(F.size("nodes") == 1).select(F.col("nodes")[0].alias("node")).distinct()
     nodes = alone.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")).unionByName(roots)
     number = F.when(F.startswith("node", F.lit("0:")), F.expr("try_cast(substring(node, 3) as bigint)"))
-    least = nodes.groupBy("root").agg(F.min(number).alias("group_no"))
-    named = cut(salted_lookup(nodes, least, "root", F.col("node")))
+    least = nodes.groupBy("root").agg(F.min("node").alias("first"), F.min(number).alias("group_no"))
+    named = cut(salted_lookup(nodes, least, "root", F.col("node")).select("node", F.col("first").alias("root"), "group_no"))
     rows = tied.select("row_id", F.get("nodes", F.lit(0)).alias("node"))
     return salted_lookup(rows, named, "node", F.col("row_id")).select("row_id", "root", "group_no")
 
