@@ -11,8 +11,9 @@ repeats of its source, so that the expected tokens of each source match its
 target share of the total: nonnegative least squares by projected gradient,
 scaled by document length so that the documents of a source get one rate. The
 rate after some steps follows from the residuals of the steps, a few numbers
-each, so a step is one aggregation; documents of equal membership and cap are
-added up beforehand.
+each, so a step is one aggregation over cells: documents whose memberships agree
+in steps of 1/GRAIN are added up beforehand, with the mean of their memberships
+by tokens. Ids, names and numbers alone are written down, never texts.
 
 The total is the largest at which no source with documents needs more repeats
 than it may have, so the shares are met as nearly as the repeats allow; a
@@ -51,7 +52,9 @@ STEPS = 60
 SOFT_PACE = 0.0001
 TOLERANCE = 1e-7
 BINS = 4096
-MAX_SOURCES = 10_000
+MAX_SOURCES = 1000
+#: Steps of a membership within which documents count as one cell of the fit.
+GRAIN = 32
 
 
 def token_counts(texts: Column, vocabulary: str, pattern: str) -> Column:
@@ -81,25 +84,34 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def posteriors(docs: DataFrame, sources: list[str], sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, kind, name, n_tokens, membership) of the documents without source; membership in the order of sources."""
+    """The documents without source and their membership, in the order of sources."""
     known = docs.where(F.col("name").isin(sources))
     share = min(1.0, sample / max(known.count(), 1))
     labelled = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     number = F.array_position(F.array(*map(F.lit, sources)), F.col("name")) - 1
-    fitted = _features(labelled).withColumn("label", number.cast("double"))
+    fitted = cut(_features(labelled).select("features", number.cast("double").alias("label")))  # of the sample
     unknown = docs.where("name is null")
-    present = {r[0] for r in labelled.select("name").distinct().collect()}  # at most as many as target sources
+    present = {int(r[0]) for r in fitted.select("label").distinct().collect()}  # at most as many as target sources
     if len(present) < 2:
-        one = [1.0 if s in present else 0.0 for s in sources]
+        one = [1.0 if i in present else 0.0 for i in range(len(sources))]
         return unknown.withColumn("membership", F.array(*map(F.lit, one)))
-    model = NaiveBayes(smoothing=0.1, modelType="multinomial").fit(fitted.select("features", "label"))
+    model = NaiveBayes(smoothing=0.1, modelType="multinomial").fit(fitted)
     scored = model.transform(_features(unknown))
     p = vector_to_array("probability")
     # classes that the sample lacks have no posterior
-    shares = [F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) * (1.0 if s in present else 0.0) for i, s in enumerate(sources)]
+    shares = [F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) * (1.0 if i in present else 0.0) for i in range(len(sources))]
     return scored.withColumn("__m", F.array(*shares)).withColumn("membership", F.expr("transform(__m, x -> x / greatest(aggregate(__m, 0D, (a, b) -> a + b), 1e-12))")).select(*unknown.columns, "membership")
 
 
+def cells_of(parts: DataFrame, n: int) -> DataFrame:
+    """(membership, cap, pace, tokens): documents of like membership added up, with their means by tokens."""
+    weight = F.col("n_tokens").cast("double")
+    mean = lambda c: F.sum(c * weight) / F.sum(weight)
+    grain = F.transform("membership", lambda m: F.round(m * GRAIN).cast("int"))
+    kept = parts.where("n_tokens > 0").groupBy(grain.alias("grain"), F.round(F.col("cap") * GRAIN).alias("cap_grain"), "pace")
+    return kept.agg(F.array(*(mean(F.col("membership")[i]) for i in range(n))).alias("membership"), mean(F.col("cap")).alias("cap"), F.sum(weight).alias("tokens")).drop("grain", "cap_grain")
+
+
 def _rate(history: list[list[float]]) -> Column:
     """The rate of a document after the steps: r <- clip(r - membership . step, 0, cap)."""
     if not history:
@@ -154,17 +166,16 @@ def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str, pattern: str,
     sources, shares, repeats = [r[0] for r in listed], [r[1] or 0.0 for r in listed], [r[2] if r[2] is not None else 1.0 for r in listed]
     if not listed:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, source string, n_tokens bigint, rate double, n_copies bigint, membership array<double>")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(kind_col).cast("string").alias("kind"), source_name(F.col(source_col)).alias("name"))
-    texts = cut(spread(texts.where("text is not null and text <> ''")).withColumn("n_tokens", token_counts(F.col("text"), vocabulary, pattern)))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(kind_col).cast("string").alias("kind"), source_name(F.col(source_col)).alias("name")).where("text is not null and text <> ''")
     index = F.array_position(F.array(*map(F.lit, sources)), F.col("name"))
     one_hot = F.transform(F.sequence(F.lit(1), F.lit(len(sources))), lambda i: F.when(i == index, 1.0).otherwise(0.0))
     cap = F.aggregate(F.zip_with("membership", F.array(*map(F.lit, repeats)), lambda m, r: m * r), F.lit(0.0), lambda a, b: a + b)
-    slim = ["doc_id", "name", "n_tokens", "membership"]
-    known = texts.where(F.col("name").isin(sources)).withColumn("membership", one_hot).select(*slim)
+    counted = lambda df: df.select("doc_id", "name", token_counts(F.col("text"), vocabulary, pattern).alias("n_tokens"), "membership")
+    known = counted(spread(texts.where(F.col("name").isin(sources))).withColumn("membership", one_hot))
     soft = F.col("name").isNull()
-    parts = known.unionByName(posteriors(texts, sources, sample).select(*slim)).withColumn("cap", F.when(soft, F.least(F.lit(1.0), cap)).otherwise(cap))
+    parts = known.unionByName(counted(posteriors(texts, sources, sample))).withColumn("cap", F.when(soft, F.least(F.lit(1.0), cap)).otherwise(cap))
     parts = cut(parts.withColumn("pace", F.when(soft, F.lit(1.0 if count_soft else SOFT_PACE)).otherwise(F.lit(1.0))))
-    cells = cut(parts.groupBy("membership", "cap", "pace").agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    cells = cut(cells_of(parts, len(sources)))
 
     able = _totals(cells if count_soft else cells.where("pace = 1"), F.col("cap"), len(sources))
     here = [s if a > 0 else 0.0 for s, a in zip(shares, able, strict=True)]

@@ -38,7 +38,7 @@ def _rounds(n: int) -> str:
     for i in range(1, n + 1):
         out.append(f"o{i} as materialized (select physician, (sum(p * vote) + 2) / (sum(p) + 3) as sens, (sum((1 - p) * (1 - vote)) + 2) / (sum(1 - p) + 3) as spec from e{i - 1} group by physician)")
         out.append(f"c{i} as materialized (select category, (sum(p / n) + 1) / (sum(1.0 / n) + 2) as prior from e{i - 1} group by category)")
-        odds = f"sum(case when vote = 1 then ln(sens) - ln(1 - spec) else ln(1 - sens) - ln(spec) end) over {w} + ln(prior) - ln(1 - prior)"
+        odds = f"sum(case when vote = 1 then ln(sens) - ln(1 - spec) else ln(1 - sens) - ln(spec) end) over (partition by pair_id, e.category) + ln(prior) - ln(1 - prior)"
         out.append(f"e{i} as materialized (select pair_id, e.category, e.physician, vote, n, 1 / (1 + exp(-({odds}))) as p from e{i - 1} e join o{i} o on o.physician = e.physician join c{i} c on c.category = e.category)")
     return ",\n".join(out)
 
