@@ -64,6 +64,14 @@ def test_fallback(spark):
     rows = spark.createDataFrame([(1, "acute knee painn"), (2, "zzzz"), (3, None), (4, " ")], "id int, item string")
     got = {r.id: r.match for r in Z.fuzzy_fallback(rows, "item", "id", forms).collect()}
     assert got == {1: "acute knee pain", 2: None}
+    spread = sorted((r.id, r.match, round(r.score, 9)) for r in Z.fuzzy_fallback(rows, "item", "id", forms, block=1).collect())
+    assert spread == sorted((r.id, r.match, round(r.score, 9)) for r in Z.fuzzy_fallback(rows, "item", "id", forms).collect())
+    rng = random.Random(1)
+    many = [("".join(rng.choices("abcde ", k=rng.randrange(1, 14))).strip() or "a") for _ in range(150)]
+    known = Z.Forms([(f, f, f) for f in many[:100]])
+    for t in many[100:]:  # the bound loses nothing
+        score, form = min((-Z.similarity(t, f), f) for f in many[:100])
+        assert known.best(t)[:2] == (-score, form)
     matcher = Z.FuzzyMatcher([("acute knee pain", "A"), ("acute knee pain", "B")])
     assert matcher.match("acute knee pain") == ("A", 1.0) and matcher.match("unlike")[0] is None
 

@@ -80,10 +80,10 @@ def signed_rank(values: DataFrame, groups: list[str], value: str) -> DataFrame:
 def rank_sum(values: DataFrame, groups: list[str], value: str, first: Column) -> DataFrame:
     """(groups, n1, n2, u): Mann-Whitney U of the rows marked first against the others, ties half."""
     sided = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("__v"), first.cast("int").alias("__f"))
-    counts = sided.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"), F.sum("__f").alias("__k"))
+    counts = sided.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"), F.sum("__f").alias("__ones"))
     ranked = running_sums(counts, groups, "__v", ["__n"])
     rank = F.col("run___n") - F.col("__n") + (F.col("__n") + 1) / 2
-    sums = ranked.groupBy(*groups).agg(F.sum("__k").alias("n1"), F.sum(F.col("__n") - F.col("__k")).alias("n2"), F.sum(F.col("__k") * rank).alias("r1"))
+    sums = ranked.groupBy(*groups).agg(F.sum("__ones").alias("n1"), F.sum(F.col("__n") - F.col("__ones")).alias("n2"), F.sum(F.col("__ones") * rank).alias("r1"))
     return sums.select(*groups, "n1", "n2", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.operators.resample import hash_number
-from tidewright.plans.prefix import running_sums
+from tidewright.plans.prefix import ordered_sums, running_sums
 
 
 def leave_one_out(rows: DataFrame, entity: str) -> DataFrame:
     """(entity, fold): one fold per sorted entity. Fewer than two are an error where the folds are used."""
-    return rows.where(F.col(entity).isNotNull()).select(entity).distinct().withColumn("fold", F.row_number().over(W.orderBy(entity)) - 1)  # one row per entity
+    one = rows.where(F.col(entity).isNotNull()).select(entity).distinct().withColumn("__n", F.lit(1))
+    return ordered_sums(one, entity, ["__n"]).select(entity, (F.col("run___n") - 1).cast("int").alias("fold"))
 
 
 def hash_folds(rows: DataFrame, entity: str, k: int, seed: int) -> DataFrame:

@@ -122,10 +122,10 @@ def whitened(rows: DataFrame, vector: str, k: int) -> tuple[DataFrame, dict]:
     return rows.where(F.col(vector).isNotNull()).mapInPandas(project, schema), held
 
 
-def class_weight(positives: Column, rows: Column, mode: str = "balanced", beta: float = 0.999, cap: float = 50.0) -> Column:
-    """Weight of the positive side: effective number (1 - beta) / (1 - beta^m), or rows by twice the positives, from 1 to the cap."""
+def class_weight(positives: Column, rows: Column, mode: str = "effective", beta: float = 0.999, cap: float = 50.0) -> Column:
+    """Weight of the positive side, from 1 to the cap: (1 - beta) / (1 - beta^m) of the effective number, or ("balanced") rows by twice the positives."""
     m = F.greatest(positives, F.lit(1))
-    raw = (1 - beta) / (1 - F.pow(F.lit(beta), m)) * m if mode == "effective" else rows / (2 * m)
+    raw = (1 - beta) / (1 - F.pow(F.lit(beta), m)) if mode == "effective" else rows / (2 * m)
     return F.least(F.greatest(raw, F.lit(1.0)), F.lit(cap))
 
 

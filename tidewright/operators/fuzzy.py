@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from tidewright.session import cut
 
 BLOCK_CAP = 200
 TOKEN_SHARE = 0.25
+#: Forms that are broadcast together.
+FORM_BLOCK = 20_000
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -143,40 +148,92 @@ def mapping_conflicts(mapping: DataFrame, canonical: str = "canonical_item", var
     return forms.select(F.lower(trimmed(F.col("form"))).alias("form"), F.lower(trimmed(F.col("canonical"))).alias("canonical")).groupBy("form").agg(F.count_distinct("canonical").alias("n_items")).where("n_items > 1")
 
 
+class Forms:
+    """Forms (normal form, form, canonical) to which texts are compared, all of them by a bound and the nearest by their similarity.
+
+    Two texts can have no longer common subsequence than characters in common,
+    so forms are compared in the order of that bound until it can't reach the
+    best similarity; the result is that of comparing with every form.
+    """
+
+    BINS = 96
+
+    def __init__(self, forms: list[tuple[str, str, str | None]]):
+        self.forms = forms
+        sort = [" ".join(sorted(f.split())) for f, _, _ in forms]
+        self.lengths = np.array([len(f) for f, _, _ in forms], np.int64)
+        self.sorted_lengths = np.array([len(f) for f in sort], np.int64)
+        self.counts = np.array([self._count(f) for f, _, _ in forms], np.int32).reshape(len(forms), self.BINS)
+
+    def _count(self, text: str) -> np.ndarray:
+        return np.bincount([ord(c) % self.BINS for c in text], minlength=self.BINS) if text else np.zeros(self.BINS, np.int64)
+
+    def best(self, text: str) -> tuple[float, str | None, str | None]:
+        """(similarity, form, canonical) of the nearest form, the first by name among equals; no form for an empty list or text."""
+        if not text or not self.forms:
+            return 0.0, None, None
+        common = 2.0 * np.minimum(self.counts, self._count(text)).sum(axis=1)
+        own = len(" ".join(text.split()))
+        bound = 0.65 * np.minimum(1, common / (self.sorted_lengths + own)) + 0.35 * np.minimum(1, common / (self.lengths + len(text)))
+        best: tuple[float, str | None, str | None] = (0.0, None, None)
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < best[0] - 1e-12:
+                break
+            norm, form, canonical = self.forms[i]
+            score = similarity(text, norm)
+            if best[1] is None or (-score, form) < (-best[0], best[1]):
+                best = (score, form, canonical)
+        return best
+
+
 class FuzzyMatcher:
     """The nearest known form of a text, fitted on training forms only; ties go to the first form."""
 
     def __init__(self, forms: list[tuple[str, str]], threshold: float = 85):
-        self.forms = [(fold(f), c) for f, c in forms]
+        self.forms = Forms([(fold(f), f"{i:09d}", c) for i, (f, c) in enumerate(forms)])
         self.threshold = threshold / 100 if threshold > 1 else threshold
 
     def match(self, text: str) -> tuple[str | None, float]:
-        best, score = None, 0.0
-        for form, canonical in self.forms:
-            if (s := similarity(fold(text), form)) > score:
-                best, score = canonical, s
-        return (best if score >= self.threshold else None), score
+        score, _, canonical = self.forms.best(fold(text))
+        return (canonical if score >= self.threshold else None), score
 
 
-def fuzzy_fallback(rows: DataFrame, text: str, key: str, forms: DataFrame, threshold: float = 85, cap: int = BLOCK_CAP) -> DataFrame:
-    """(key, text, match, score): the nearest form of each unresolved text that shares a block with it, null below the threshold.
+def fuzzy_fallback(rows: DataFrame, text: str, key: str, forms: DataFrame, threshold: float = 85, block: int = FORM_BLOCK) -> DataFrame:
+    """(key, text, match, score): the nearest of all forms of each unresolved text, null below the threshold.
 
-    Distinct texts are compared with the forms of their blocks; a block of more
-    than ``cap`` forms and the length class alone bring nobody together, so a
-    text meets a bounded number of forms, in one pass over the texts.
+    Distinct texts are compared once. The forms are broadcast in blocks of a
+    fixed size; the block changes no result.
     """
     threshold = threshold / 100 if threshold > 1 else threshold
+    context = rows.sparkSession.sparkContext
     texts = rows.where(F.col(text).isNotNull() & (trimmed(F.col(text)) != "")).select(key, trimmed(F.col(text)).alias("text"))
-    queries = texts.select("text").distinct().select(F.xxhash64("text").alias("id"), "text", folded_ascii(F.col("text")).alias("norm")).where("norm <> ''")
-    known = forms.select(F.xxhash64("form").alias("fid"), "form", "canonical", folded_ascii(F.col("form")).alias("fnorm")).where("fnorm <> ''")
-    qk = block_keys(queries).where(~F.startswith("key", F.lit("l:")))
-    fk = block_keys(known.select(F.col("fid").alias("id"), F.col("fnorm").alias("norm"))).withColumnRenamed("id", "fid")
-    fk = fk.join(fk.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).select("key"), "key")
-    pairs = qk.join(fk, "key").groupBy("id", "fid").agg(F.count(F.lit(1)).alias("shared"))
-    scored = pairs.where("shared >= 2").join(queries, "id").join(known, "fid").withColumn("score", similarity_udf("norm", "fnorm"))
-    best = scored.groupBy("text").agg(F.max_by(F.struct("canonical", "score"), F.struct("score", F.lit(0) - F.col("fid"))).alias("m"))
+    queries = texts.select("text").distinct().select("text", folded_ascii(F.col("text")).alias("norm")).where("norm <> ''")
+    queries = queries.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    blocks, held = [], []
+    for row in forms.select(folded_ascii(F.col("form")).alias("norm"), "form", "canonical").where("norm <> ''").distinct().toLocalIterator():  # one block at a time
+        held.append(tuple(row))
+        if len(held) == block:
+            blocks.append(context.broadcast(held))
+            held = []
+    if held:
+        blocks.append(context.broadcast(held))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict[int, Forms] = {}
+        for pdf in batches:
+            best: list[tuple] = [(0.0, None, None)] * len(pdf)
+            for i, part in enumerate(blocks):
+                if i not in made:
+                    made = {i: Forms(part.value)}  # one block at a time
+                for j, norm in enumerate(pdf["norm"]):
+                    found = made[i].best(norm)
+                    if found[1] is not None and (best[j][1] is None or (-found[0], found[1]) < (-best[j][0], best[j][1])):
+                        best[j] = found
+            yield pd.DataFrame({"text": pdf["text"], "score": [b[0] for b in best], "canonical": [b[2] for b in best]})
+
+    best = queries.mapInPandas(run, "text string, score double, canonical string")
     joined = texts.join(best, "text", "left")
-    return joined.select(key, "text", F.when(F.col("m.score") >= threshold, F.col("m.canonical")).alias("match"), F.coalesce("m.score", F.lit(0.0)).alias("score"))
+    return joined.select(key, "text", F.when(F.col("score") >= threshold, F.col("canonical")).alias("match"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def strata(rows: DataFrame, item: str, train_items: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tidewright.plans.prefix import ordered_sums
 
 from tidewright.sources.tables import unpivoted
 
@@ -106,9 +107,8 @@ def shuffled_assignment(pairs: DataFrame, entity: str, item: str, seed: int, wei
     distinct = pairs.select(entity, item).distinct()
     weight = F.count(F.lit(1)) if weighting == "pair" else F.lit(1).cast("bigint")
     sizes = distinct.groupBy(entity).agg((F.count(F.lit(1)) if weighting == "pair" else F.max(weight)).alias("w"))
-    order = W.orderBy(entity)  # one row per entity
-    ranked = sizes.withColumn("upto", F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(W.partitionBy()))
-    ranked = ranked.withColumn("before", F.col("upto") - F.col("w"))
+    summed = ordered_sums(sizes, entity, ["w"]).withColumnRenamed("run_w", "upto")
+    ranked = summed.withColumns({"total": summed.select(F.sum("w")).scalar(), "before": F.col("upto") - F.col("w")})
     own = ranked.select(entity, "w", "before", "total")
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), entity, item)), 1, 8), 16, 10).cast("bigint")
     drawn = distinct.join(own, entity).where("total > w").withColumn("slot", F.pmod(draw, F.col("total") - F.col("w")))

@@ -52,7 +52,7 @@ def entry(sql: str | None = None, doubles: str = "", name: str | None = None) ->
 
 
 def _load() -> None:
-    from tidewright.plans import queries_cells, queries_items, queries_metrics, queries_summary  # noqa: F401
+    from tidewright.plans import queries_cells, queries_inference, queries_items, queries_metrics, queries_summary  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

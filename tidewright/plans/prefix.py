@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.session import cut
+
 BUCKETS = 1024
 
 
@@ -38,6 +40,20 @@ def running_sums(df: DataFrame, groups: list[str], order: str, values: list[str]
     return joined.withColumns(run | {"next_order": F.coalesce(F.lead(order).over(inside), "__next")}).drop("__b", "__next", *(f"__o_{v}" for v in values))
 
 
+def ordered_sums(df: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """df with ``run_<value>``, the sum up to and with each row in the order of a column of any kind, distinct and not null.
+
+    Rows are sorted into ranges, each cumulated by itself behind the totals of
+    those before it, a row per range.
+    """
+    placed = cut(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    totals = placed.groupBy("__p").agg(*(F.sum(v).alias(f"__t_{v}") for v in values))
+    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("__p", *(F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__o_{v}") for v in values))
+    inside = W.partitionBy("__p").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return placed.join(F.broadcast(offsets), "__p").withColumns({f"run_{v}": F.col(f"__o_{v}") + F.sum(v).over(inside) for v in values}).drop("__p", *(f"__o_{v}" for v in values))
+
+
 def value_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """(groups, value, n, rank): number of rows of each distinct value and their common rank, ties at the mean."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))

@@ -169,12 +169,6 @@ _GAP = "({0} - physician_interview_consensus) * ({0} - physician_interview_conse
 _IMP = f"{_GAP.format('llm_context_free')} - {_GAP.format('llm_correct_context')}"
 
 
-@entry(sql(f", e as (select model, category, 1 - avg({_SIGN}) as share from cells where delta_physician <> 0 group by model, category), r as (select *, row_number() over (partition by model order by share) as k, count(*) over (partition by model) as n from e) select model, category, share, least(1.0, min(share * n / k) over (partition by model order by share desc, k desc rows unbounded preceding)) as p_adjusted from r", "cells"), "share p_adjusted")
-def e12_bh(spark, sf):
-    """The step-up correction on shares of disagreement, which stand in for p values."""
-    return G.benjamini_hochberg(G.sign_agreement(cells(spark, sf), ["model", "category"]).select("model", "category", (1 - F.col("rate")).alias("share")), "share", partition=["model"])
-
-
 @entry(sql(f"select model, category, count(*) as n, avg({_GAP.format('llm_context_free')}) as brier_free, avg({_GAP.format('llm_correct_context')}) as brier_context, avg({_IMP}) as improvement from cells where {_BI} group by model, category", "cells"), "brier_free brier_context improvement")
 def e13_brier_improvement(spark, sf):
     return G.brier_improvement(cells(spark, sf), ["model", "category"])
@@ -245,13 +239,6 @@ def e19_ccc(spark, sf):
     return G.concordance(preds(spark, sf), _G, "p", "y")
 
 
-@entry(sql(", o as (select patient, category, physician, avg(v) as v from (" + " union all ".join(f"select patient, '{c}' as category, physician, {c} as v from rv where sheet = 'test'" for c in CLASSES) + ") where v is not null and patient is not null and physician is not null group by all), w as (select category, physician, patient, v from o) select physician, count(*) as n, avg(v) as mean_label from w group by physician", "rv"), "mean_label")
-def e20_rater_profile(spark, sf):
-    long = unpivoted(sheet(spark, sf, "test").where("patient is not null and physician is not null"), ["patient", "physician"], CLASSES).where("score is not null")
-    per = long.groupBy("patient", "category", "physician").agg(F.avg("score").alias("v"))
-    return per.groupBy("physician").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_label"))
-
-
 _STR = f""", k as (select distinct lower(item) as item from rv where sheet = 'train' and item is not null), c as (select cells.*, case when k.item is null then 'novel' else 'repeated' end as stratum from cells left join k on k.item = lower(cells.item_text))"""
 
 
@@ -272,23 +259,9 @@ def e23_rank_sum(spark, sf):
     return G.rank_sum(marked, ["model"], "d", F.col("stratum") == "novel")
 
 
-_ARCH = f", s as (select model, patient as cluster, sum({_IMP}) as s, count(*) as n from cells where {_BI} group by model, patient) select model, sum(s) / sum(n) as point, count(*) as n_patients from s group by model"
-
-
-@entry(sql(_ARCH, "cells"), "point")
-def e24_arch_comparison(spark, sf):
-    sums = S.cluster_sums(cells(spark, sf).where(_BI), ["model"], "patient", F.expr(_IMP))
-    return sums.groupBy("model").agg((F.sum("s") / F.sum("n")).alias("point"), F.count(F.lit(1)).alias("n_patients"))
-
-
 @entry(sql(" union all ".join(f"select '{c}' as category, least(greatest(count(*) / (2.0 * greatest(sum({c}), 1)), 1.0), 50.0) as weight from cons where sheet = 'train'" for c in CLASSES), "cons"), "weight")
 def a26_class_weights(spark, sf):
     from tidewright.operators.features import class_weight
 
     long = unpivoted(consensus(spark, sf, "train"), ["patient", "item"], CLASSES)
-    return long.groupBy("category").agg(F.sum("score").alias("m"), F.count(F.lit(1)).alias("n")).select("category", class_weight(F.coalesce("m", F.lit(0.0)), F.col("n")).alias("weight"))
-
-
-@entry(sql("select sheet, patient, count(distinct physician) as n_observers, count(*) as n_rows from rv group by all", "rv"))
-def e21_individual_labels(spark, sf):
-    return study_ratings(spark, sf).groupBy("sheet", "patient").agg(F.count_distinct("physician").alias("n_observers"), F.count(F.lit(1)).alias("n_rows"))
+    return long.groupBy("category").agg(F.sum("score").alias("m"), F.count(F.lit(1)).alias("n")).select("category", class_weight(F.coalesce("m", F.lit(0.0)), F.col("n"), "balanced").alias("weight"))
