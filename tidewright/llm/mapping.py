@@ -315,7 +315,9 @@ def mapped(
             yield pd.DataFrame({"value": pdf["value"], into: pd.Series([v.decided(vocabulary) for v in values], dtype="int32")})
 
     kept = entries.where(F.col(text_col).isNotNull() & (F.regexp_replace(F.col(text_col), r"[\s\p{Z}\p{C}]", "") != ""))
-    distinct = kept.select(F.col(text_col).alias("value")).distinct()
+    # spread again, as few bytes of values can be much work
+    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = kept.select(F.col(text_col).alias("value")).distinct().repartition(partitions)
     meant = distinct.mapInPandas(run, f"value string, `{into}` int").withColumnRenamed("value", "__value")
     return salted_lookup(kept.withColumn("__value", F.col(text_col)), meant, "__value", F.xxhash64(*entries.columns)).drop("__value").select(*entries.columns, into)
 
