@@ -145,7 +145,7 @@ def grouped(df: DataFrame, row_col: str, id_cols: list[str], normal: Callable[[C
     root is the smallest node of the group, group_no the smallest number of the
     first id column in it, null when it has none.
     """
-    tied = ties(df, row_col, id_cols, normal)
+    tied = cut(ties(df, row_col, id_cols, normal))  # ids alone
     roots = components(tie_edges(tied))
     alone = tied.where(F.size("nodes") == 1).select(F.col("nodes")[0].alias("node")).distinct()
     nodes = alone.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")).unionByName(roots)
@@ -158,7 +158,7 @@ def grouped(df: DataFrame, row_col: str, id_cols: list[str], normal: Callable[[C
 
 def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 17) -> DataFrame:
     """(row_id, split, root, group_no): the groups of ``grouped`` put into splits near the given shares."""
-    groups = cut(groups)
+    groups = cut(groups)  # three columns
     spread_hash = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), c), 12).cast("double") / F.lit(float(2**52))
     names = list(shares)
     edges = [sum(shares[n] for n in names[: i + 1]) / sum(shares.values()) for i in range(len(names))]
