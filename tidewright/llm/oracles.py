@@ -1,6 +1,8 @@
 """DuckDB statements that give the rows of queries that SQL can express."""
 
-CLASSES = "behavioral_health, diagnoses, disabilities, infectious_diseases, genetics, medications, sexual_reproductive_health, social_determinants_of_health, violence, other"
+from tidewright.sources.tables import CLASSES as _NAMES
+
+CLASSES = ", ".join(_NAMES)
 
 #: A text without blanks, case and marks that aren't between two digits.
 _BARE = r"""list_aggregate(list_filter(list_transform(range(1, length({x}) + 1), lambda i: lower(substr({x}, i, 1))

@@ -11,7 +11,6 @@ from tidewright.llm import consensus, formatting, leakage, lookalike, mapping, m
 from tidewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-CLASSES = ["behavioral_health", "diagnoses", "disabilities", "infectious_diseases", "genetics", "medications", "sexual_reproductive_health", "social_determinants_of_health", "violence", "other"]
 IDS = ["patient_id", "author_id", "source_id"]
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
 TOKENIZER = "byte_bpe_50k.tiktoken"
