@@ -50,7 +50,9 @@ FEATURES = 1 << 14
 STEPS = 60
 #: Pace at which the rates of documents without source grow unless they count: those of known source are used first.
 SOFT_PACE = 0.0001
-TOLERANCE = 1e-7
+#: Residual at which the fit ends, and gain below which a step is none, as shares of all tokens: rates become whole copies by
+#: hash in BINS parts of a source, so a finer fit would change nothing.
+TOLERANCE, GAIN = 1e-4, 1e-5
 BINS = 4096
 MAX_SOURCES = 1000
 #: Steps of a membership within which documents count as one cell of the fit.
@@ -143,7 +145,7 @@ def fit_rates(cells: DataFrame, goals: list[float]) -> list[list[float]]:
         have, up, down = (([float(x or 0.0) for x in sums[k * n : (k + 1) * n]]) for k in range(3))
         off = [h - g for h, g in zip(have, goals, strict=True)]
         size = sum(o * o for o in off) ** 0.5
-        if best is None or size < best - 1e-9 * max(sum(goals), 1.0):
+        if best is None or size < best - GAIN * max(sum(goals), 1.0):
             best, kept = size, len(history)
         elif len(history) > kept + 5:
             break
@@ -167,11 +169,12 @@ def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str, pattern: str,
     if not listed:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, source string, n_tokens bigint, rate double, n_copies bigint, membership array<double>")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(kind_col).cast("string").alias("kind"), source_name(F.col(source_col)).alias("name")).where("text is not null and text <> ''")
+    texts = spread(texts)
     index = F.array_position(F.array(*map(F.lit, sources)), F.col("name"))
     one_hot = F.transform(F.sequence(F.lit(1), F.lit(len(sources))), lambda i: F.when(i == index, 1.0).otherwise(0.0))
     cap = F.aggregate(F.zip_with("membership", F.array(*map(F.lit, repeats)), lambda m, r: m * r), F.lit(0.0), lambda a, b: a + b)
     counted = lambda df: df.select("doc_id", "name", token_counts(F.col("text"), vocabulary, pattern).alias("n_tokens"), "membership")
-    known = counted(spread(texts.where(F.col("name").isin(sources))).withColumn("membership", one_hot))
+    known = counted(texts.where(F.col("name").isin(sources)).withColumn("membership", one_hot))
     soft = F.col("name").isNull()
     parts = known.unionByName(counted(posteriors(texts, sources, sample))).withColumn("cap", F.when(soft, F.least(F.lit(1.0), cap)).otherwise(cap))
     parts = cut(parts.withColumn("pace", F.when(soft, F.lit(1.0 if count_soft else SOFT_PACE)).otherwise(F.lit(1.0))))
