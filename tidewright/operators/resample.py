@@ -7,13 +7,17 @@ the cluster table.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cluster_sums(df: DataFrame, groups: list[str], cluster: str, value: Column) -> DataFrame:
@@ -26,18 +30,132 @@ def hash_number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("bigint")
 
 
+#: Clusters of a group that travel as one row, and clusters that a task of the bootstrap holds.
+BLOCK, HELD = 1 << 16, 1 << 21
+#: Draws that are hashed at once.
+DRAWS = 1 << 14
+_TURNS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).reshape(-1)
+_SINES = [int(abs(math.sin(i + 1)) * (1 << 32)) for i in range(64)]
+
+
+def _md5_heads(prefix: bytes, first: int, last: int) -> np.ndarray:
+    """The first 32 bits of the MD5 of the prefix and each of the numbers from first to last - 1, all of as many digits, in one block."""
+    digits = len(str(first))
+    j = np.arange(first, last, dtype=np.int64)
+    fixed = bytearray(prefix + b"\0" * digits + b"\x80").ljust(56, b"\0") + (8 * (len(prefix) + digits)).to_bytes(8, "little")
+    words: list = [int.from_bytes(fixed[i : i + 4], "little") for i in range(0, 64, 4)]
+    for i in range(digits):
+        at = len(prefix) + i
+        char = (j // 10 ** (digits - 1 - i) % 10 + 48).astype(np.uint32) << np.uint32(8 * (at % 4))
+        words[at // 4] = char + np.uint32(words[at // 4]) if isinstance(words[at // 4], int) else words[at // 4] + char
+    a, b, c, d = (np.full(len(j), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        word = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16]
+        if isinstance(word, int):
+            f += np.uint32((word + _SINES[i]) & 0xFFFFFFFF)
+        else:
+            f += word
+            f += np.uint32(_SINES[i])
+        f += a
+        np.right_shift(f, np.uint32(32 - _TURNS[i]), out=g)
+        f <<= np.uint32(_TURNS[i])
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return (a + np.uint32(0x67452301)).byteswap()
+
+
+def draw_numbers(seed: int, resample: int, first: int, last: int) -> np.ndarray:
+    """hash_number of (seed, resample, j) for j from first to last - 1."""
+    prefix, out = f"{seed}:{resample}:".encode(), np.empty(last - first, np.uint32)
+    at = first
+    while at < last:
+        end = min(last, at + DRAWS, 10 ** len(str(at)))
+        if end - at < 1000 or len(prefix) + len(str(at)) > 55:
+            out[at - first : end - first] = [int.from_bytes(hashlib.md5(prefix + b"%d" % j).digest()[:4], "big") for j in range(at, end)]
+        else:
+            out[at - first : end - first] = _md5_heads(prefix, at, end)
+        at = end
+    return out
+
+
+def _drawn(seed: int, resample: int, sizes: list[int]) -> dict[int, np.ndarray]:
+    """How often each rank is drawn in a resample, for each number of clusters."""
+    out = {c: np.zeros(c) for c in sizes}
+    step = 64 * DRAWS
+    for first in range(0, max(sizes, default=0), step):
+        numbers = draw_numbers(seed, resample, first, min(max(sizes), first + step)).astype(np.int64)
+        for c in sizes:
+            if c > first:
+                out[c] += np.bincount(numbers[: c - first] % c, minlength=c)
+    return out
+
+
+def _resampled(table: pa.Table, groups: list[str], resamples: int, seed: int, block: int) -> pa.Table:
+    """A row per group and resample of a unit: the sums over the clusters drawn, of those that the unit has."""
+    part, parts = table["__p"][0].as_py(), table["__parts"][0].as_py()
+    mine = range(resamples * part // parts, resamples * (part + 1) // parts)
+    # blocks with the same ranks of groups of the same size are summed up together
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, key in enumerate(zip(table["__c"].to_pylist(), table["__b"].to_pylist(), strict=True)):
+        alike.setdefault(key, []).append(i)
+    flat = lambda name, i: table[name][i].values.to_numpy(zero_copy_only=False)
+    values = {key: np.stack([flat(name, i) for name in ("__s", "__n") for i in rows]) for key, rows in alike.items()}
+    odd = {key: np.flatnonzero(~np.isfinite(v).all(axis=1)) for key, v in values.items()}
+    sizes = sorted({c for c, _ in alike})
+    s, n = (np.zeros((table.num_rows, len(mine))) for _ in range(2))
+    for at, resample in enumerate(mine):
+        drawn = _drawn(seed, resample, sizes)
+        for key, rows in alike.items():
+            times = drawn[key[0]][key[1] * block :][:block]
+            got = values[key] @ times
+            for i in odd[key]:  # 0 times what is no number is no number
+                got[i] = (values[key][i][times > 0] * times[times > 0]).sum()
+            s[rows, at], n[rows, at] = got[: len(rows)], got[len(rows) :]
+    of = pa.array(np.repeat(np.arange(table.num_rows), len(mine)))
+    return pa.table({**{g: table[g].take(of) for g in groups}, "__r": pa.array(np.tile(np.array(mine, np.int32), table.num_rows)), "s": pa.array(s.ravel()), "n": pa.array(n.ravel())})
+
+
 def bootstrap_means(sums: DataFrame, groups: list[str], resamples: int, seed: int) -> DataFrame:
     """(groups, point, low, high): percentile interval of the mean over clusters drawn with replacement.
 
     Draw j of resample r takes the cluster whose rank in the group is the hash
     of (seed, r, j) modulo the number of clusters. Fewer than two clusters give
     a point without interval.
+
+    The draws are never rows: a unit holds at most about HELD clusters of its groups
+    as arrays in the order of the ranks, hashes its share of the resamples
+    once for all of them and gives two sums a group and resample.
     """
-    ranked = sums.withColumn("__k", F.row_number().over(W.partitionBy(*groups).orderBy("cluster")) - 1).withColumn("__c", F.count(F.lit(1)).over(W.partitionBy(*groups)))
-    counts = ranked.groupBy(*groups).agg(F.first("__c").alias("__c"), (F.sum("s") / F.sum("n")).alias("point"))
-    draws = counts.where("__c > 1").withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__c") - 1)))  # one row per draw
-    draws = draws.withColumn("__k", F.pmod(hash_number(F.lit(str(seed)), F.col("__r").cast("string"), F.col("__j").cast("string")), F.col("__c")).cast("int"))
-    means = draws.select(*groups, "__r", "__k").join(ranked.select(*groups, "__k", "s", "n"), [*groups, "__k"]).groupBy(*groups, "__r").agg((F.sum("s") / F.sum("n")).alias("m"))
+    cores, block = sums.sparkSession.sparkContext.defaultParallelism, BLOCK
+    counts = sums.groupBy(*groups).agg(F.count(F.lit(1)).alias("__c"), (F.sum("s") / F.sum("n")).alias("point"))
+    ranked = sums.withColumn("__k", F.row_number().over(W.partitionBy(*groups).orderBy("cluster")) - 1)
+    rows = ranked.groupBy(*groups, F.floor(F.col("__k") / block).cast("int").alias("__b")).agg(F.array_sort(F.collect_list(F.struct("__k", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n")))).alias("__x"))
+    blocks = counts.where("__c > 1").select(*groups, "__c", F.explode(F.sequence(F.lit(0), F.floor((F.col("__c") - 1) / block).cast("int"))).alias("__b"))
+    size = F.least(F.lit(block), F.col("__c") - F.col("__b") * block)
+    before = F.sum(size).over(W.orderBy("__c", "__b", *groups)) - size  # a row per group and block
+    bins = blocks.withColumn("__bin", F.floor(before / HELD).cast("int")).withColumn("__parts", F.least(F.lit(resamples), F.ceil(cores / (F.max("__bin").over(W.partitionBy()) + 1))).cast("int"))
+    unit = F.col("__bin") * F.col("__parts") + F.col("__p")
+    placed = rows.join(bins, [*groups, "__b"]).select(*groups, "__c", "__b", "__bin", "__parts", F.col("__x.s").alias("__s"), F.col("__x.n").alias("__n"), F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__p")).withColumn("__unit", unit)
+    schema = T.StructType([sums.schema[g] for g in groups]).add("__r", T.IntegerType()).add("s", T.DoubleType()).add("n", T.DoubleType())
+    drawn = placed.repartitionById(cores, F.pmod("__unit", F.lit(cores))).groupBy("__unit").applyInArrow(lambda table: _resampled(table, groups, resamples, seed, block), schema)  # few bytes, much work
+    means = drawn.groupBy(*groups, "__r").agg((F.sum("s") / F.sum("n")).alias("m"))
     ci = means.groupBy(*groups).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return counts.join(ci, groups, "left").select(*groups, "point", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
