@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,11 @@ def last_scores(scores: DataFrame, keys: list[str], order: str) -> DataFrame:
     return ranked.where("__rn = 1").drop("__rn")
 
 
+def _class_rows(classes: list[str], columns: dict[str, str]) -> Column:
+    """A row per class: category, and of each struct of classes its value under the name given."""
+    return F.inline(F.array(*(F.struct(F.lit(c).alias("category"), *(F.col(k)[c].alias(name) for k, name in columns.items())) for c in classes)))
+
+
 def pivoted_scores(scores: DataFrame, classes: list[str], condition: str = "score_condition", order: str = "score_id") -> DataFrame:
     """(model, patient_id, item_text, category, llm_context_free, llm_correct_context, llm_shuffled_context).
 
@@ -24,16 +29,31 @@ def pivoted_scores(scores: DataFrame, classes: list[str], condition: str = "scor
     of a repeated key the last score holds. One shuffle by key, then the classes
     are unpivoted.
     """
+    wide = wide_scores(scores, classes, condition, order)
+    return wide.select("model", "patient_id", "item_text", _class_rows(classes, {cond: f"llm_{cond}" for cond in CONDITIONS}))
+
+
+def wide_scores(scores: DataFrame, classes: list[str], condition: str = "score_condition", order: str = "score_id") -> DataFrame:
+    """``pivoted_scores`` before the classes are unpivoted: a struct of classes per condition."""
     one = last_scores(scores, ["model", "patient_id", "item_text", condition], order)
     picked = [F.max(F.when(F.col(condition) == cond, F.struct(*classes))).alias(cond) for cond in CONDITIONS]
-    wide = one.where(F.col(condition).isin(CONDITIONS)).groupBy("model", "patient_id", "item_text").agg(*picked)
-    rows = F.array(*(F.struct(F.lit(c).alias("category"), *(F.col(cond)[c].alias(f"llm_{cond}") for cond in CONDITIONS)) for c in classes))
-    return wide.select("model", "patient_id", "item_text", F.inline(rows))
+    return one.where(F.col(condition).isin(CONDITIONS)).groupBy("model", "patient_id", "item_text").agg(*picked)
 
 
 def paired_cells(scores: DataFrame, reference: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Scores of ``pivoted_scores`` joined to reference labels (patient_id, item_text, category, survey, interview, delta)."""
-    joined = scores.join(reference, ["patient_id", "item_text", "category"])
+    return _shifts(scores.join(reference, ["patient_id", "item_text", "category"]), epsilon)
+
+
+def paired_wide_cells(scores: DataFrame, reference: DataFrame, classes: list[str], epsilon: float = EPSILON) -> DataFrame:
+    """``paired_cells`` of ``wide_scores`` and wide labels (patient_id, item_text, a, b): a key is joined once for all of its classes."""
+    joined = scores.join(reference, ["patient_id", "item_text"])
+    rows = _class_rows(classes, {cond: f"llm_{cond}" for cond in CONDITIONS} | {"a": "survey", "b": "interview"})
+    return _shifts(joined.select("model", "patient_id", "item_text", rows).withColumn("delta", F.col("interview") - F.col("survey")), epsilon)
+
+
+def _shifts(joined: DataFrame, epsilon: float) -> DataFrame:
+    """The cells of scores beside their labels."""
     dc, ds, sign = F.col("delta_llm_correct"), F.col("delta_llm_shuffled"), F.signum("delta_physician")
     return (
         joined.withColumnsRenamed({"patient_id": "patient", "survey": "physician_survey_consensus", "interview": "physician_interview_consensus", "delta": "delta_physician"})

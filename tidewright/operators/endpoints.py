@@ -129,6 +129,19 @@ def endpoint_summary(cells: DataFrame, failed: DataFrame, resamples: int = 1000,
     return joined.withColumns({"failure_rate": rate, "flag": interpretation_flag(F.col("mean_abs_delta_correct"), F.col("specificity_low"), F.col("mean_alignment_difference"), epsilon)})
 
 
+def behaviour_flags(cells: DataFrame, resamples: int = 1000, seed: int = 42, epsilon: float = EPSILON) -> DataFrame:
+    """(model, flag) of ``endpoint_summary``, from a row per model and patient, which is all that is kept."""
+    moved, shifts = F.abs("delta_llm_correct"), F.col("delta_physician") != 0
+    gain = F.when(shifts, F.col("alignment_difference"))
+    per = cells.groupBy("model", F.col("patient").alias("cluster")).agg(
+        F.count(F.lit(1)).alias("cells"), F.count(moved).alias("known"), F.sum(moved).alias("moved"), F.count_if(shifts).alias("shifts"), F.sum(gain).alias("s"), F.count(gain).alias("n"),
+    ).persist()
+    mean = lambda total, n, whole: F.when(F.sum(n) == F.sum(whole), F.sum(total) / F.nullif(F.sum(n), F.lit(0)))
+    points = per.groupBy("model").agg(mean("moved", "known", "cells").alias("sensitivity"), mean("s", "n", "shifts").alias("difference"))
+    ci = bootstrap_means(per.where("n > 0").select("model", "cluster", "s", "n"), ["model"], resamples, seed).select("model", "low")
+    return points.join(ci, "model", "left").select("model", interpretation_flag(F.col("sensitivity"), F.col("low"), F.col("difference"), epsilon).alias("flag"))
+
+
 def model_ranking(summary: DataFrame, by: str = "mean_alignment_difference") -> DataFrame:
     """Models from the largest value on, missing ones last; ties by name."""
     return summary.select("model", by, F.row_number().over(W.orderBy(F.desc_nulls_last(by), "model")).alias("rank"))  # one row per model

@@ -63,12 +63,17 @@ def aggregate_observers(df: DataFrame, keys: list[str], observer: str, classes:
 
 def paired_labels(df: DataFrame, keys: list[str], condition: str, before: str, after: str, observer: str, classes: list[str], order: str, count: int = 2) -> DataFrame:
     """``reference_labels`` of both conditions in one pass: distinct rows are shuffled by key once, for aggregation and pairing alike."""
+    wide = paired_wide_labels(df, keys, condition, before, after, observer, classes, order, count)
+    cells = F.array(*(F.struct(F.lit(c).alias("category"), F.col("a")[c].alias("survey"), F.col("b")[c].alias("interview")) for c in classes))
+    return wide.select(*keys, F.inline(cells)).withColumn("delta", F.col("interview") - F.col("survey"))
+
+
+def paired_wide_labels(df: DataFrame, keys: list[str], condition: str, before: str, after: str, observer: str, classes: list[str], order: str, count: int = 2) -> DataFrame:
+    """``paired_labels`` before the classes are unpivoted: (keys, a, b), structs of classes before and after, placed by the keys."""
     rows = df.where(F.col(condition).isin(before, after)).dropna(subset=keys).select(condition, *keys, observer, *classes, order)
     done = _aggregated(rows, [condition, *keys], observer, classes, order, count, together=keys)
     side = lambda name: F.max(F.when(F.col(condition) == name, F.struct(*classes)))
-    wide = done.groupBy(*keys).agg(side(before).alias("a"), side(after).alias("b")).where("a is not null and b is not null")
-    cells = F.array(*(F.struct(F.lit(c).alias("category"), F.col("a")[c].alias("survey"), F.col("b")[c].alias("interview")) for c in classes))
-    return wide.select(*keys, F.inline(cells)).withColumn("delta", F.col("interview") - F.col("survey"))
+    return done.groupBy(*keys).agg(side(before).alias("a"), side(after).alias("b")).where("a is not null and b is not null")
 
 
 def merged_conditions(test: DataFrame, interview: DataFrame, keys: list[str], classes: list[str]) -> DataFrame:

@@ -30,7 +30,16 @@ def pivoted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    return C.paired_cells(pivoted(spark, sf), reference(spark, sf))
+    return cells_of(spark, sf, wide_reference(spark, sf))
+
+
+def wide_reference(spark: SparkSession, sf: str) -> DataFrame:
+    labels = R.paired_wide_labels(study_ratings(spark, sf), KEYS, "sheet", "test", "interview", "physician", CLASSES, "row_id")
+    return labels.withColumnsRenamed({"patient": "patient_id", "item": "item_text"})
+
+
+def cells_of(spark: SparkSession, sf: str, labels: DataFrame) -> DataFrame:
+    return C.paired_wide_cells(C.wide_scores(table(spark, sf, "scores"), CLASSES), labels, CLASSES)
 
 
 def preds(spark: SparkSession, sf: str) -> DataFrame:
